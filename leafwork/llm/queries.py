@@ -24,9 +24,30 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_ids
+
+    return language_ids(_table(spark, sf_dir, "documents"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import Codec, encode
+
+    return encode(_table(spark, sf_dir, "documents"), Codec.load(), ids=False)
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
+    "op3_pieces": op3_pieces,
     "op6_minhash": op6_minhash,
     "op9_pii": op9_pii,
+    "op10_decontam": op10_decontam,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
