@@ -1,7 +1,11 @@
-"""A training-data pipeline: language, near-duplicates, benchmark leaks, personal data, tokens.
+"""A training-data pipeline: language, near-duplicates, benchmark leaks, personal data, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
 columns of documents. run() chains them with each result written and read again.
+
+Defined cases: an empty table passes through as one; null texts go at the language stage, as they
+have no language; rows with a null doc_id are near-duplicates of nothing and stay; columns
+besides those of documents are carried along.
 """
 
 from __future__ import annotations
@@ -9,19 +13,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm.minhash import near_duplicates
+from leafwork.llm import decontam, langid, minhash, pieces, pii
 from leafwork.llm.store import Scratch
 
 
-def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (und) go; lang becomes the predicted one."""
+    known = langid.identify(docs, langid.fit(docs), keep=docs.columns).where("lang_pred <> 'und'")
+    return known.withColumn("lang", F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays: the one with the smallest doc_id."""
+    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind in brackets; n_chars follows."""
+    return pii.redact(docs)
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_pieces, ids_crc32, lossless, piece_ids."""
+    return pieces.encode(docs, pieces.Codec.load(), keep=["doc_id", "lang", "source"])
 
 
-STAGES = [("minhash", minhash_dedup)]
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("personal_data", personal_data),
+    ("piece_encoding", piece_encoding),
+]
 
-#: Learned models and hashed signatures decide; SQL can't express the stages.
+#: Learned models, hashed signatures and keyed merges decide; SQL can't express the stages.
 ORACLE_SQL = None
 
 
@@ -29,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
     return docs
