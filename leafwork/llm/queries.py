@@ -24,6 +24,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_labels
+
+    return license_labels(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_ids
 
@@ -43,9 +61,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_langid": op2_langid,
     "op3_pieces": op3_pieces,
     "op6_minhash": op6_minhash,
+    "op7_licenses": op7_licenses,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_decontam": op10_decontam,
 }
