@@ -30,6 +30,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import url_verdicts
+
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfiles import Encoder, token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), Encoder())
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_labels
 
@@ -64,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
     "op3_pieces": op3_pieces,
+    "op4_urls": op4_urls,
+    "op5_tokens": op5_tokens,
     "op6_minhash": op6_minhash,
     "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,

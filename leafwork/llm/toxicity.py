@@ -27,8 +27,8 @@ from . import blocks
 
 BUCKETS = 1 << 20
 TOXIC, CLEAN = 2_500, 5_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.6, 0.5
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 15.0, 0.0
 LEAST_SCORE = 0.3
 
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
