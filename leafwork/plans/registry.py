@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grid
+from . import grid, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (grid,):
+for _module in (grid, tables):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
