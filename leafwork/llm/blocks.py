@@ -2,7 +2,7 @@
 
 A batch of texts is one UTF-8 buffer with offsets, so words, their 64-bit hashes and
 their documents come out of a few array passes, with no object per word. Texts are taken
-in slices of about a megabyte, always whole texts, so that memory is bounded by the slice
+in slices of about a quarter of a megabyte, always whole texts, so that memory is bounded by the slice
 or by the longest single text.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
