@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grid, layout, tables
+from . import documents, grid, layout, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (grid, tables, layout):
+for _module in (grid, tables, layout, documents):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
