@@ -129,9 +129,9 @@ def _markup(spark, sf_dir):
 u as (select conv_id, 2 * i o, null tag, trim(tx[i]) txt from (select *, unnest(range(1, len(tx) + 1)) i from x) union all select conv_id, 2 * i + 1, tg[i], null from (select *, unnest(range(1, len(tg) + 1)) i from x)),
 k as (select conv_id, row_number() over (partition by conv_id order by o) - 1 pos, tag, txt from u where tag is not null or txt <> '')
 select conv_id, pos, case when tag is null then 'TEXT' when tag = '</page>' then 'PAGE_CLOSE' when tag like '</%' then 'TAG_CLOSE' when tag like '<page%' then 'PAGE_OPEN' else 'TAG_OPEN' end as type,
- case when tag is not null and tag not like '%page%' then regexp_extract(tag, '^</?([a-z_]+)', 1) end as name, txt as text, cast(case when tag like '<page%' then 1 end as bigint) page from k""")
+ case when tag is not null and tag not like '%page%' then regexp_extract(tag, '^</?([a-z_]+)', 1) end as name, txt as text, cast(case when tag like '<page%' then 1 else -1 end as bigint) page from k""")
 def doctags_tokens(spark, sf_dir):
-    return markup.tokens(_markup(spark, sf_dir), ["conv_id"]).select("conv_id", "pos", "type", "name", "text", "page")
+    return markup.tokens(_markup(spark, sf_dir), ["conv_id"]).select("conv_id", "pos", "type", "name", "text", F.coalesce("page", F.lit(-1)).alias("page"))
 
 
 @query("""with t as (select conv_id, turn, role, trim(text) x, row_number() over (partition by conv_id order by turn, role, text) rn from conversations),
