@@ -138,7 +138,7 @@ def scored(ruled: DataFrame, models: tuple[Model, Model] | None) -> DataFrame:
 
 
 def calibrate(ruled: DataFrame, models: tuple[Model, Model] | None) -> float:
-    """The threshold that parts the held-out ruled URLs best, least on ties; from at most 2 * STEPS * FARTHEST * 2 counts."""
+    """The threshold that parts the held-out ruled URLs best, half-way to the next lower score; from at most 2 * STEPS * FARTHEST * 2 counts."""
     if models is None:
         return 0.0
     held = scored(ruled.where(F.col("ruled").isNotNull() & ~_counting()), models)
@@ -148,12 +148,13 @@ def calibrate(ruled: DataFrame, models: tuple[Model, Model] | None) -> float:
     bad = {r["step"]: r["count"] for r in rows if not r["ok"]}
     if not ok or not bad:
         return 0.0
-    best, at = -1.0, 0
+    best, at, below = -1.0, 0.0, None
     for s in sorted({*ok, *bad}):
         kept = sum(n for k, n in ok.items() if k >= s) / sum(ok.values())
         dropped = sum(n for k, n in bad.items() if k < s) / sum(bad.values())
         if kept + dropped > best + 1e-12:
-            best, at = kept + dropped, s
+            best, at = kept + dropped, s if below is None else (s + below) / 2
+        below = s
     return at / STEPS
 
 
