@@ -243,6 +243,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hashes: int = HASHE
     links = scratch.keep(confirmed(more).unionByName(so_far(components)), "links")
     components = grouped(links)
 
+    scratch.drop_all_but(feats, classes, components)
+
     final = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "n_shingles", "fp_a", "fp_b").join(final, ["fp_a", "fp_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -26,6 +26,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df and returns a DataFrame that reads it: a later loss of an executor recomputes nothing before this point."""
@@ -34,6 +35,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept.append(out)
         return out
 
     def drop(self, df: DataFrame) -> None:
@@ -43,3 +45,10 @@ class Scratch:
             hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+    def drop_all_but(self, *needed: DataFrame) -> None:
+        """Deletes all tables of the run but those that the result still reads."""
+        paths = {df._scratch_path for df in needed}
+        for df in self.kept:
+            if df._scratch_path not in paths:
+                self.drop(df)
+        self.kept = list(needed)
