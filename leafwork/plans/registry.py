@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, extraction, grid, layout, tables
+from . import documents, extraction, grid, layout, spatial, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (grid, tables, layout, documents, extraction):
+for _module in (grid, tables, layout, documents, spatial, extraction):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
