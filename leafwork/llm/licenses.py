@@ -5,8 +5,10 @@ and digits and of non-ASCII characters. (The text is lower-cased as a whole; tha
 letter but k out of another character, and no base phrase has a k.) Rules are regular
 expressions over the words with one blank between them, anchored at words.
 
-A rule has a label, a priority and a keyword. A text without any gate word is not searched
-at all, and in the others a rule runs only where its keyword stands. Detections are word
+A rule has a label, a priority and two lists of word starts: each of its matches has a word that
+starts with one of ``words`` and, where ``also`` is not empty, one that starts with one of ``also``. One
+search collects the words of a text that start so, and a rule runs only where both its lists
+are met; so no match is lost, and there is no other gate. Detections are word
 intervals. One is suppressed if another of higher priority contains it, or a larger one of
 equal priority; base phrases always stay. The score is the highest priority left, as a share of the highest one.
 
@@ -87,15 +89,15 @@ NAMES = [
     ("cc-by-nc-nd", "cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?", "cc|commons"),
 ]
 
-#: Frames around a name: priority and pattern. A tag or address beats a grant, a grant beats a mention.
+#: Frames around a name: priority, pattern and starts of words of which each match has one. A tag or address beats a grant, a grant beats a mention.
 FRAMES = [
-    (4, "spdx license identifier (?:{name})(?: or later| only)?"),
-    (4, "(?:opensource|spdx|creativecommons|gnu|apache) org licen[cs]es? (?:{name})"),
-    (3, "(?:is |are |was )?(?:licen[cs]ed|released|distributed|published|available|provided|covered|made available) under (?:the terms (?:and conditions )?of )?(?:the |an? )?(?:{name})(?: licen[cs]e)?"),
-    (3, "(?:subject to|pursuant to|in accordance with|under) the (?:terms of the )?(?:{name})(?: licen[cs]e)?"),
-    (3, "licen[cs]e (?:is )?(?:the )?(?:{name})(?: licen[cs]e)?"),
-    (2, "(?:{name}) licen[cs]e"),
-    (1, "(?:{long})"),
+    (4, "spdx license identifier (?:{name})(?: or later| only)?", ["spdx"]),
+    (4, "(?:opensource|spdx|creativecommons|gnu|apache) org licen[cs]es? (?:{name})", ["licen"]),
+    (3, "(?:is |are |was )?(?:licen[cs]ed|released|distributed|published|available|provided|covered|made available) under (?:the terms (?:and conditions )?of )?(?:the |an? )?(?:{name})(?: licen[cs]e)?", ["under"]),
+    (3, "(?:subject to|pursuant to|in accordance with|under) the (?:terms of the )?(?:{name})(?: licen[cs]e)?", ["subject", "pursuant", "accordance", "under"]),
+    (3, "licen[cs]e (?:is )?(?:the )?(?:{name})(?: licen[cs]e)?", ["licen"]),
+    (2, "(?:{name}) licen[cs]e", ["licen"]),
+    (1, "(?:{long})", []),
 ]
 
 #: Sentences of the licences' own texts.
@@ -119,23 +121,29 @@ TEXTS = [
     ("no-warranty", "without warranties or conditions of any kind", "warranties"),
 ]
 
-#: One of these must stand in a text for any rule to match it.
-GATES = ("licen", "copyright", "rights reserved", "permi", "redistribut", "public domain", "unencumbered", "proprietary", "warrant", "waived", "compliance", "gpl", "creative", "cc")
 HIGHEST = 5
 
 
 def rules() -> list[dict]:
-    """All rules: label, priority, keywords (one must stand in the text), pattern."""
-    out = [{"label": label, "priority": HIGHEST, "words": [word], "pattern": pattern} for label, pattern, word in TEXTS]
+    """All rules: label, priority, words and also (word starts, of each of which a match has one), pattern."""
+    out = [{"label": label, "priority": HIGHEST, "words": [word], "also": [], "pattern": pattern} for label, pattern, word in TEXTS]
     for label, names, words in NAMES:
-        for priority, frame in FRAMES:
+        for priority, frame, also in FRAMES:
             # a name of one word is no mention by itself
             pattern = frame.replace("{name}", names).replace("{long}", names if " " in names else f"(?:{names}) licen[cs]ed")
-            out.append({"label": label, "priority": priority, "words": words.split("|"), "pattern": pattern})
-    out += [{"label": label, "priority": 2, "words": [phrase.split()[0]], "pattern": phrase} for phrase, label in BASE.items()]
+            out.append({"label": label, "priority": priority, "words": words.split("|"), "also": also, "pattern": pattern})
+    out += [{"label": label, "priority": 2, "words": [phrase.split()[0]], "also": [phrase.split()[2]], "pattern": phrase} for phrase, label in BASE.items()]
     return [r | {"pattern": f"(?<= )(?:{r['pattern']})(?= )"} for r in out]
 
 
+def _starts(words: list[str]) -> str:
+    """A regular expression that matches where one of the words does, by shared first letters."""
+    if "" in words:
+        return ""
+    heads = sorted({w[0] for w in words})
+    return "(?:" + "|".join(h + _starts([w[1:] for w in words if w[0] == h]) for h in heads) + ")"
+
+
 def _count_blanks(s: Column) -> Column:
     return F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
 
@@ -172,20 +180,20 @@ def _unsuppressed(found: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with _n_words, _words (padded words where a gate word stands, else null), _base and _found (array<struct<start, end, priority, label>>)."""
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,priority:int,words:array<string>,pattern:string>>")
-    lowered = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("_text", lowered)
-    gate = F.lit(False)
-    for word in GATES:
-        gate = gate | F.col("_text").contains(word)
+    """docs with _n_words, _words (padded), _hits (the words that start like a rule's), _base and _found (array<struct<start, end, priority, label>>)."""
+    kind = "array<struct<label:string,priority:int,words:array<string>,also:array<string>,pattern:string>>"
+    given = rules()
+    table, phrases = F.from_json(F.lit(json.dumps(given)), kind), F.from_json(F.lit(json.dumps(given[-len(BASE) :])), kind)
+    key = " " + _starts(sorted({w for r in given for w in r["words"] + r["also"]})) + "[^ ]*"
+    out = docs.withColumn("_text", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = out.withColumn("_n_words", F.regexp_count("_text", F.lit(WORD)).cast("long"))
-    out = out.withColumn("_words", F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace("_text", NOT_WORD, " ")), F.lit(" "))))
-    here = F.filter(table, lambda r: F.exists(r["words"], lambda w: F.col("_words").contains(w)))
+    out = out.withColumn("_words", F.concat(F.lit(" "), F.trim(F.regexp_replace("_text", NOT_WORD, " ")), F.lit(" ")))
+    out = out.withColumn("_hits", F.array_join(F.array_distinct(F.regexp_extract_all("_words", F.lit(key), F.lit(0))), ""))
+    stands = lambda w: F.col("_hits").contains(F.concat(F.lit(" "), w))
+    runs = lambda r: F.exists(r["words"], stands) & ((F.size(r["also"]) == 0) | F.exists(r["also"], stands))
     empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
-    out = out.withColumn("_all", F.when(F.col("_words").isNotNull(), F.flatten(F.transform(here, lambda r: _intervals(F.col("_words"), r)))).otherwise(empty))
-    phrases = F.from_json(F.lit(json.dumps([{"label": v, "priority": 2, "pattern": f"(?<= )(?:{k})(?= )"} for k, v in BASE.items()])), "array<struct<label:string,priority:int,pattern:string>>")
-    out = out.withColumn("_base", F.when(F.col("_words").isNotNull(), F.flatten(F.transform(phrases, lambda r: _intervals(F.col("_words"), r)))).otherwise(empty))
+    found = lambda of: F.when(F.col("_hits") != "", F.flatten(F.transform(F.filter(of, runs), lambda r: _intervals(F.col("_words"), r)))).otherwise(empty)
+    out = out.withColumn("_all", found(table)).withColumn("_base", found(phrases))
     return out.withColumn("_found", F.when(F.size("_all") > 0, _unsuppressed(F.array_distinct("_all"))).otherwise(empty))
 
 

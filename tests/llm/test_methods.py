@@ -221,6 +221,62 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 300
 
 
+def _made(parsed, rng):
+    """A text that a parsed regular expression matches."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL":
+            out += "q"
+        elif name == "IN":
+            pick = rng.choice([a for a in arg if str(a[0]) != "NEGATE"])
+            out += "q" if str(arg[0][0]) == "NEGATE" else chr(pick[1] if str(pick[0]) == "LITERAL" else rng.randint(*pick[1]))
+        elif name == "BRANCH":
+            out += _made(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += _made(arg[3], rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(_made(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], 6))))
+        else:
+            assert name == "ASSERT" or name == "ASSERT_NOT", name
+    return out
+
+
+def test_each_license_rule_fires_on_its_match_alone(spark):
+    rng = random.Random(12)
+    made = []
+    for r in licenses.rules():
+        parsed = re._parser.parse(r["pattern"])
+        texts = {_made(parsed, rng) for _ in range(60)}
+        for t in texts:
+            starts = lambda words: any(f" {t}".find(f" {w}") >= 0 for w in words)  # noqa: B023, E731
+            assert starts(r["words"]) and (starts(r["also"]) or not r["also"]), (t, r)
+        made += [(len(made) + i, t, r["label"], r["priority"]) for i, t in enumerate(sorted(texts)[:2])]
+    assert len({m[0] for m in made}) == len(made)
+    docs = spark.createDataFrame([(i, t.upper()) for i, t, _, _ in made], "doc_id long, text string")
+    got = {r["doc_id"]: {(d["label"], d["priority"]) for d in r["_all"]} for r in licenses.scan(docs).select("doc_id", "_all").collect()}
+    for i, t, label, priority in made:
+        assert (label, priority) in got[i], (t, label, got[i])
+
+
+def test_licenses_need_no_word_besides_their_match(spark):
+    texts = {
+        "Distributed under the BSD 3-Clause terms": "bsd-3",
+        "This is Apache 2.0": "apache-2",
+        "released under the MIT": "mit",
+        "MPL 2.0": "mpl-2",
+        "EPL 2.0": "epl-2",
+        "All rights\nreserved": "all-rights-reserved",
+        "All-rights-reserved.": "all-rights-reserved",
+        "placed in the public\tdomain": "public-domain",
+    }
+    got = {r["doc_id"]: r for r in licenses.license_labels(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        assert got[i]["labels"] == want and got[i]["score"] > 0, (t, got[i])
+
+
 def test_ftrl_finds_the_word(spark):
     rng = random.Random(6)
     rows = [(i, prose(40, rng) + (" vilest " if i % 4 == 0 else " ") + prose(40, rng), int(i % 4 == 0)) for i in range(1200)]
