@@ -100,6 +100,23 @@ def test_quality_ratio_is_the_multinomials(spark):
     assert total[1] > total[2]
 
 
+def test_quality_counts_every_trusted_document(spark):
+    texts = [prose(30, random.Random(i)) + f" only{i}" for i in range(12)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8), 0) for i in range(12)] + [(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    few = {r["doc_id"]: r["score"] for r in quality.quality_rules(docs, labels, trusted=2, rejected=2).collect()}
+    want = {r["doc_id"]: r["score"] for r in quality.assess(docs, quality.log_ratios(docs, list(range(8)))).collect()}
+    assert few == want
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for i, text in enumerate([*texts, "no id"]):
+        for _, _, words in blocks.word_slices(pa.array([text]), blocks.WHITE, blocks.EXACT):
+            one, two, inside = quality.buckets(words)
+            for at in [*one, *two[inside]]:
+                raw[at] += 1
+                target[at] += i < 8
+    assert np.allclose(quality.log_ratios(docs, labels.where("quality = 1")), np.log(target / target.sum()) - np.log(raw / raw.sum()))
+
+
 def naive_phrases(text, sample):
     """Phrases of a greedy parse, by searching the sample."""
     n, i = 0, 0
