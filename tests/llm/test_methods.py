@@ -176,6 +176,40 @@ def test_pieces_equal_the_model_without_dropout_and_decode_with_it():
         assert dropped._short(w, 1) == dropped._agenda(w, 1)
 
 
+def test_merge_dropout_is_drawn_for_each_candidate():
+    codec = pieces.Codec.load()
+
+    def spread(word, gaps, share, out):
+        """The share of each segmentation if every candidate is decided by itself."""
+        after, ids = codec.merges(word, gaps)
+        out[ids] = out.get(ids, 0) + share * 0.9**after
+        for g in range(after):
+            spread(word, (*gaps, g), share * 0.9**g * 0.1, out)
+        return out
+
+    for word in ("in", "the", "under"):
+        want, got, n = spread(pieces.BLANK + word, (), 1.0, {}), {}, 0
+        assert abs(sum(want.values()) - 1) < 1e-9
+        for k in range(40):
+            text = f"{k} " + " ".join([word] * 500)
+            ids = codec.encode(text)
+            assert codec.decode(ids) == text
+            starts = [i for i, piece in enumerate(ids) if codec.bytes[piece].startswith(b" ")] + [len(ids)]
+            for lo, hi in zip(starts[1:], starts[2:], strict=False):
+                got[tuple(ids[lo:hi])] = got.get(tuple(ids[lo:hi]), 0) + 1
+                n += 1
+        assert n == 20_000 and len(got) > 2 and set(got) <= set(want)
+        for form, share in want.items():
+            assert abs(got.get(form, 0) / n - share) < 0.015, (word, form, share, got.get(form, 0) / n)
+    # two places of one merge in a word are decided apart
+    found = {codec.merges("ababab", g)[1] for g in [(), *[(i,) for i in range(4)], *[(i, j) for i in range(3) for j in range(3)]]}
+    assert len(found) > 2
+    # gaps give the segmentation of the decisions that they stand for, with the heap as with the list
+    for gaps in [(), (0,), (3,), (1, 0, 2), (0, 0, 0, 0)]:
+        for w in ("understanding", "internationalisation", "aaaaaaaa"):
+            assert codec._short(w, *gaps) == codec._agenda(w, *gaps)
+
+
 def test_token_scan_against_direct_counts(spark):
     encoder = tokenfiles.Encoder()
     texts = [prose(RNG.randint(0, 60)) for _ in range(80)] + [None, "", prose(3000)]
