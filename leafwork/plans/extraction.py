@@ -125,9 +125,9 @@ def reextracted(results: DataFrame, page: DataFrame, items: DataFrame, segs: Dat
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Half of the pages have a ruled grid, the others have none."""
+    """Items, the ruled grid of every page, and page sizes."""
     items = R.relation(spark, sf_dir, R.ITEMS)
-    return items, ruled(spark, sf_dir).where("page % 2 = 0"), items.select("page").distinct().withColumn("width", F.lit(660.0)).withColumn("height", F.lit(800.0))
+    return items, ruled(spark, sf_dir), items.select("page").distinct().withColumn("width", F.lit(660.0)).withColumn("height", F.lit(800.0))
 
 
 def extracted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

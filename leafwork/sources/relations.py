@@ -6,6 +6,8 @@ in Spark; ``text`` gives it with plain names, for other engines, where both acce
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Table-like positioned items: four columns for each lineitem of an order.
@@ -18,7 +20,7 @@ from (select b.*, c.c, case c.c when 0 then cast(l_partkey as varchar(20)) when
   cross join (values (0), (1), (2), (3)) c(c))"""
 
 #: A ruled grid for each order, with gaps and broken lines.
-SEGMENTS = """
+_SEGMENTS = """
 select page, kind, x1, y1, x2, y2, cast(row_number() over (partition by page order by kind, y1, x1, y2, x2) - 1 as bigint) seq from (
 with n as (select l_orderkey page, count(*) n from {lineitem} group by l_orderkey),
 ks as (select page, n, k from n cross join (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16),(17),(18),(19),(20)) k(k)),
@@ -28,6 +30,12 @@ select page, 'H' kind, cast(50 as double) x1, y y1, cast(case when (page + k) %
 union all select page, 'H', cast(305 as double), y, cast(610 as double), y from h where (page + k) % 4 = 0
 union all select page, 'V', cast(50 + 140 * j as double), cast(32 + 24 * r as double), cast(50 + 140 * j as double), cast(56 + 24 * r as double) from v where not (j between 1 and 3 and (page + 5 * r + j) % 7 = 0))"""
 
+#: In Spark a grid has as many lines as its order asks for; the other text stops at the 20th.
+SEGMENTS = {
+    "spark": re.sub(r"ks as \(.*\),", "ks as (select page, n, explode(sequence(0, cast(n as int))) k from n),", _SEGMENTS),
+    "duckdb": _SEGMENTS,
+}
+
 #: Image boxes on pages of 20.
 IMAGES = """
 select cast(floor(p_partkey / 20) as bigint) page, p_partkey seq, cast((p_partkey * 37) % 500 as double) x, cast((p_partkey * 53) % 700 as double) y, cast(p_size as double) w, cast(p_size + p_partkey % 20 as double) h from {part}"""

@@ -1,5 +1,6 @@
 """Operators against brute force, small pages with known results, and queries against SQL."""
 
+import datetime
 import os
 import random
 
@@ -191,3 +192,19 @@ def test_query_against_sql(spark, name):
     names = sorted(got.columns)
     want = con.sql(f"select {', '.join(names)} from ({registry.ORACLES[name]})").fetchall()
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_grids_of_long_orders_are_whole(spark, tmp_path):
+    from leafwork.plans import extraction
+    from leafwork.plans.grid import ruled
+
+    rows = [(page, i, i, i, 1.0, "N", 10.0, datetime.date(2020, 1, 1)) for page, n in ((7, 30), (8, 3)) for i in range(n)]
+    kind = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_extendedprice double, l_shipdate date"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    segs = ruled(spark, str(tmp_path)).collect()
+    for page, n in ((7, 30), (8, 3)):
+        tops = {r["y1"] for r in segs if r["page"] == page and r["kind"] == "H"}
+        assert tops == {32.0 + 24 * k + page % 3 for k in range(n + 1)}
+        assert {r["y1"] for r in segs if r["page"] == page and r["kind"] == "V"} == {32.0 + 24 * k for k in range(n)}
+    given = extraction._inputs(spark, str(tmp_path))[1]
+    assert given.count() == len(segs) and {r["page"] for r in given.select("page").distinct().collect()} == {7, 8}
