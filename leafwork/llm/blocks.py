@@ -31,14 +31,34 @@ LOWER = EXACT.copy()
 LOWER[65:91] += np.uint64(32)
 
 
+#: Powers for more bytes than this are made anew each time, so that a worker does not keep the arrays of one very long text.
+_KEPT_POWERS = 1 << 21
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for slot, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[slot] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= _KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * up[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of them) of each pair, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
