@@ -9,6 +9,9 @@ step holds more than one block, or one summary a block.
 ``write_blocks`` lays documents out so: each input partition is one file. Its doc_ids column names
 the documents that end in a block, in order; only the final answer is labelled with it.
 
+A text is encoded in runs of bounded length that end where the pre-tokeniser must end a token anyway: before a blank between two
+letters, and around long runs of white space, which are one token's bytes but for the last character. That changes no token.
+
 Defined cases: null and empty texts are documents of 0 tokens; tokens after a file's last separator are an
 unfinished document (``scan`` gives it as ``open_tokens`` of the last block); a block without a separator ends nothing;
 repeated rows and null ids stay; an empty table gives no files and no rows.
@@ -17,6 +20,7 @@ repeated rows and null ids stay; an empty table gives no files and no rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,10 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 END = 50_256
 BLOCK_TOKENS = 1 << 16
 RUN = 1024
+RUN_CHARS = 1 << 20
+LONG_SPACE = 1000
+_SPACE = " \t\n\r\f\v\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BETWEEN = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 class Encoder:
@@ -47,12 +55,32 @@ class Encoder:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_encoding": None}
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str, run: int = RUN_CHARS, long_space: int = LONG_SPACE) -> np.ndarray:
+        """The ids of a text, as if it were encoded whole."""
         if self._encoding is None:
             import tiktoken
 
             self._encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return self._encoding.encode_ordinary(text)
+        if len(text) <= long_space:
+            return np.array(self._encoding.encode_ordinary(text), np.uint16)
+        parts, at = [], 0
+        for space in re.finditer(f"[{_SPACE}]{{{long_space},}}", text):
+            lo, hi = space.span()
+            whole = hi == len(text)
+            parts += self._runs(text[at:lo], run)
+            parts.append(self._encoding._encode_single_piece(text[lo : hi if whole else hi - 1]))
+            at = hi if whole else hi - 1
+        parts += self._runs(text[at:], run)
+        return np.concatenate([np.array(p, np.uint16) for p in parts]) if parts else np.zeros(0, np.uint16)
+
+    def _runs(self, text: str, run: int) -> list[list[int]]:
+        out, at = [], 0
+        while at < len(text):
+            cut = _BETWEEN.search(text, at + run) if len(text) - at > run else None
+            to = cut.start() if cut else len(text)
+            out.append(self._encoding.encode_ordinary(text[at:to]))
+            at = to
+        return out
 
 
 def write_blocks(docs: DataFrame, encoder: Encoder, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -70,7 +98,7 @@ def write_blocks(docs: DataFrame, encoder: Encoder, end: int = END, block_tokens
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = np.array([*(encoder.encode(text) if text else ()), end], np.uint16)
+                tokens = np.append(encoder.encode(text) if text else np.zeros(0, np.uint16), np.uint16(end))
                 open_parts.append(tokens)
                 size += len(tokens)
                 ending.append((size - 1, doc_id))
@@ -120,7 +148,7 @@ def scan(found: DataFrame) -> DataFrame:
 
     The prefix scan: within runs of RUN blocks, over the runs, and back. Its windows see one summary a block, or one a run.
     """
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1) + 1)
+    last = F.when(F.size("ends") > 0, F.element_at("ends", -1).cast("long") + 1)
     out = found.withColumn("run", F.floor(F.col("block") / RUN).cast("long"))
     before = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("inner", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
@@ -132,7 +160,7 @@ def scan(found: DataFrame) -> DataFrame:
     out = out.join(runs, ["file", "run"])
     base = F.col("run_base") + F.col("inner")
     begun = F.coalesce(F.col("run_base") + F.col("stop"), F.col("run_from"))  # where the document open at the block's start began
-    starts = F.concat(F.array((begun - base).cast("int")), F.transform("ends", lambda e: e + 1))
+    starts = F.concat(F.array(begun - base), F.transform("ends", lambda e: e.cast("long") + 1))
     lengths = F.zip_with("ends", F.slice(starts, 1, F.greatest(F.size("ends"), F.lit(0))), lambda e, s: e - s)
     tail = F.when(F.size("ends") > 0, F.col("n_tokens") - last).otherwise(base + F.col("n_tokens") - begun)
     return out.select(*found.columns, base.alias("base"), F.transform(lengths, lambda x: x.cast("long")).alias("lengths"), tail.cast("long").alias("open_tokens"))
@@ -142,5 +170,7 @@ def token_counts(docs: DataFrame, encoder: Encoder, block_tokens: int = BLOCK_TO
     """doc_id, n_tokens, file, start (token offset in the file) of each row of docs, from files written and then scanned."""
     scratch = Scratch(docs.sparkSession, "tokens")
     stored = scratch.keep(write_blocks(docs, encoder, block_tokens=block_tokens), "blocks")
-    each = scan(separators(stored)).select("file", F.explode(F.arrays_zip("doc_ids", "lengths", F.transform("ends", lambda e: F.col("base") + e).alias("stops"))).alias("d"))
+    found = scratch.keep(separators(stored), "ends")  # small: the blocks themselves can go
+    scratch.drop_all_but(found)
+    each = scan(found).select("file", F.explode(F.arrays_zip("doc_ids", "lengths", F.transform("ends", lambda e: F.col("base") + e).alias("stops"))).alias("d"))
     return each.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").alias("n_tokens"), "file", (F.col("d.stops") - F.col("d.lengths")).alias("start"))
