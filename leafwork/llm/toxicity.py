@@ -6,7 +6,9 @@ buckets. FTRL-proximal gives each coordinate its own rate, and L1 leaves most we
 exactly 0: scoring gathers the few that are left and ships to executors as a sparse list.
 
 Fitting: at most ``TOXIC`` labelled documents with label 1 and ``CLEAN`` with label 0, those with
-the least hash of the id, ``EPOCHS`` passes in hash order. Scores see the text alone.
+the least hash of the id, and of these, in hash order, as many as hold ``MOST_FEATURES`` features (each document at least one);
+``EPOCHS`` passes in hash order. The bounds differ by class, so the bias is put back to the classes' shares among all labelled
+rows: a score means the same at every size. An id with both labels counts as clean. Scores see the text alone.
 
 Defined cases: an empty or null text scores the bias; without labels of both kinds all weights are 0 and the
 bias is the share of label 1 (0 without any); null labels and null ids teach nothing; repeated rows score equal;
@@ -24,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .store import Scratch
 
 BUCKETS = 1 << 20
 TOXIC, CLEAN = 2_500, 5_000
+MOST_FEATURES = 20_000_000
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 15.0, 0.0
 LEAST_SCORE = 0.3
@@ -114,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
     share = sum(label.values()) / max(1, len(label))
     if not 0 < share < 1:
         return Model(np.zeros(0, np.int64), np.zeros(0), 35.0 if share else -35.0)
+    everywhere = {r["toxic"]: r["count"] for r in rows.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "features"])
 
     wanted = docs.sparkSession.createDataFrame([(i,) for i in label], "doc_id long")
-    found = _given(docs).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(run, "doc_id long, features array<int>").withColumn("h", F.xxhash64("doc_id")).toArrow()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    found = _given(docs).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(run, "doc_id long, features array<int>")
+    kept = scratch.keep(found.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.size("features")), "features")
+    sizes = kept.select("h", "doc_id", "n").toArrow()
+    if not sizes.num_rows:
+        return Model(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)))
+    hashes, total = sizes["h"].to_numpy(), sizes["n"].to_numpy()
+    by_hash = np.lexsort((sizes["doc_id"].to_numpy(), hashes))
+    last = int(hashes[by_hash][max(0, int(np.searchsorted(np.cumsum(total[by_hash]), MOST_FEATURES, "right")) - 1)])
+    found = kept.where(F.col("h") <= last).select("doc_id", "features", "h").toArrow()
+    scratch.drop_all_but()
     order = np.lexsort((found["doc_id"].to_numpy(), found["h"].to_numpy()))
     features = found["features"].combine_chunks()
     flat, where = features.flatten().to_numpy(), features.offsets.to_numpy() - features.offsets[0].as_py()
@@ -136,7 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
             model.learn(flat[where[i] : where[i + 1]].astype(np.int64), label[ids[i]])
     weights = model.weights(slice(None))
     at = np.flatnonzero(weights)
-    return Model(at, weights[at], model.bias_weight())
+    taught = [sum(label[i] == kind for i in ids) for kind in (0, 1)]
+    shift = math.log(everywhere[1] / everywhere[0]) - math.log(taught[1] / taught[0]) if all(taught) else 0.0
+    return Model(at, weights[at], model.bias_weight() + shift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
