@@ -6,8 +6,9 @@ starts with the rule's; the longest fitting rule gives the verdict.
 
 The method: URLs that allow rules accept, and those that block rules reject, are the texts of two
 variable-order Markov models over UTF-8 bytes with contexts of 0 to ``ORDER`` bytes, each order
-smoothed towards the next lower one. Counts are of all such URLs and live in hashed tables of
-``ORDER + 1`` times ``BUCKETS`` cells, so what the driver and the executors hold is bounded. A URL scores its
+smoothed towards the next lower one. Counts are of all such URLs and live in hashed tables of ``ORDER + 1`` times B cells, where
+B grows with the number of such URLs, from ``LEAST_BUCKETS`` to ``MOST_BUCKETS``; so what the driver and the executors hold is
+bounded. A URL scores its
 log-likelihood difference per byte; at the calibrated threshold or above it is allowed. One fifth of
 the ruled URLs, by crc32, is not counted but calibrates: the threshold parts the two kinds
 best, from a histogram of scores in steps of 1 / ``STEPS``.
@@ -30,12 +31,11 @@ from . import blocks
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 4
-BUCKETS = 1 << 16
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 18
 PRIOR = 4.0
 STEPS, FARTHEST = 200, 10.0
 HELD_OUT = 5
 
-_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,9 +53,9 @@ def with_rules(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     return out.withColumn("rule", rule.cast("string")).withColumn("ruled", ruled.cast("string"))
 
 
-def cells(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def cells(data: np.ndarray, offsets: np.ndarray, size: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """For each byte and order: the cell of its context, and the cell of context and byte. Shape (order + 1, bytes)."""
-    n = len(data)
+    n, shift = len(data), np.uint64(64 - size.bit_length() + 1)
     place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     value = data.astype(np.uint64)
     context = np.full(n, 0x9AE16A3B2F90404F, np.uint64)
@@ -66,8 +66,8 @@ def cells(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np
             before[k:] = value[:-k] if n > k else value[:0]
             before[place < k] = 256  # before the start
             context = blocks.mix(context * np.uint64(257) + before)
-        contexts[k] = context >> _SHIFT
-        both[k] = blocks.mix(context + value + np.uint64(1)) >> _SHIFT
+        contexts[k] = context >> shift
+        both[k] = blocks.mix(context + value + np.uint64(1)) >> shift
     return contexts, both
 
 
@@ -75,7 +75,7 @@ class Model:
     """Hashed counts of one kind of URL: of contexts and of contexts with the next byte."""
 
     def __init__(self, contexts: np.ndarray, both: np.ndarray):
-        self.contexts, self.both = contexts, both
+        self.contexts, self.both, self.size = contexts, both, contexts.shape[1]
 
     def log_likelihood(self, contexts: np.ndarray, both: np.ndarray) -> np.ndarray:
         p = np.full(contexts.shape[1], 1 / 256)
@@ -88,29 +88,36 @@ def _counting() -> Column:
     return F.crc32(F.col("url").cast("binary")) % HELD_OUT != 0
 
 
+def buckets(n_urls: int) -> int:
+    """Cells of a table: four for each URL, as a power of two within the bounds."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, 4 * n_urls - 1).bit_length()))
+
+
 def fit(ruled: DataFrame) -> tuple[Model, Model] | None:
     """Models of rejected and accepted URLs, or None without one kind. Partitions add up their own tables first."""
 
+    known = ruled.where(F.col("ruled").isNotNull() & _counting()).select("url", (F.col("ruled") == "allow").cast("int").alias("kind"))
+    size = buckets(known.count())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 2, ORDER + 1, BUCKETS), np.int64)
+        tables = np.zeros((2, 2, ORDER + 1, size), np.int64)
         for batch in batches:
             kinds = batch.column(1).to_numpy(zero_copy_only=False).astype(int)
             for lo, hi, data, offsets in blocks.text_slices(batch.column(0)):
-                contexts, both = cells(data, offsets)
+                contexts, both = cells(data, offsets, size)
                 mine = np.repeat(kinds[lo:hi], np.diff(offsets))
                 for kind in (0, 1):
                     for k in range(ORDER + 1):
-                        tables[kind, 0, k] += np.bincount(contexts[k][mine == kind], minlength=BUCKETS)
-                        tables[kind, 1, k] += np.bincount(both[k][mine == kind], minlength=BUCKETS)
+                        tables[kind, 0, k] += np.bincount(contexts[k][mine == kind], minlength=size)
+                        tables[kind, 1, k] += np.bincount(both[k][mine == kind], minlength=size)
         flat = tables.reshape(-1)
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["cell", "n"])
 
-    known = ruled.where(F.col("ruled").isNotNull() & _counting()).select("url", (F.col("ruled") == "allow").cast("int").alias("kind"))
     rows = known.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(4 * (ORDER + 1) * BUCKETS)
+    flat = np.zeros(4 * (ORDER + 1) * size)
     flat[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    tables = flat.reshape(2, 2, ORDER + 1, BUCKETS).astype(np.float32)
+    tables = flat.reshape(2, 2, ORDER + 1, size).astype(np.float32)
     if not tables[0].any() or not tables[1].any():
         return None
     return Model(*tables[0]), Model(*tables[1])
@@ -128,7 +135,7 @@ def scored(ruled: DataFrame, models: tuple[Model, Model] | None) -> DataFrame:
         rejected, accepted = models
         for batch in batches:
             for lo, hi, data, offsets in blocks.text_slices(batch.column(at)):
-                contexts, both = cells(data, offsets)
+                contexts, both = cells(data, offsets, accepted.size)
                 gain = np.concatenate(([0.0], np.cumsum(accepted.log_likelihood(contexts, both) - rejected.log_likelihood(contexts, both))))
                 score = (gain[offsets[1:]] - gain[offsets[:-1]]) / np.maximum(1, np.diff(offsets))
                 part = batch.slice(lo, hi - lo)
