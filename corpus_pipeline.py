@@ -19,8 +19,9 @@ from leafwork.llm.store import Scratch
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (und) go; lang becomes the predicted one."""
-    known = langid.identify(docs, langid.fit(docs), keep=docs.columns).where("lang_pred <> 'und'")
-    return known.withColumn("lang", F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
+    known = langid.identify(docs.withColumn(found, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), langid.fit(docs), keep=[found]).where("lang_pred <> 'und'")
+    return known.select(*[(F.col("lang_pred") if c == "lang" else F.col(found)[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="leafwork-"))
     return context.getCheckpointDir()
@@ -47,7 +49,7 @@ class Scratch:
 
     def drop_all_but(self, *needed: DataFrame) -> None:
         """Deletes all tables of the run but those that the result still reads."""
-        paths = {df._scratch_path for df in needed}
+        paths = {df._scratch_path for df in needed}  # none: everything goes
         for df in self.kept:
             if df._scratch_path not in paths:
                 self.drop(df)

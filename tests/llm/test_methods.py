@@ -79,7 +79,7 @@ def test_quality_counts_against_brute_force(spark):
     texts = ["\n".join(" ".join(rng.choice(["a", "b#", "é|", "<x>", "cc"]) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 8))) for _ in range(120)]
     texts += ["a b c d e f g h a b c d e f g h", "a\n\na\n \n \na", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in quality.assess(docs, np.zeros(quality.BUCKETS)).collect()}
+    got = {r["doc_id"]: r for r in quality.assess(docs, np.zeros((2, quality.BUCKETS))).collect()}
     for i, t in enumerate(texts):
         t = t or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -92,29 +92,53 @@ def test_quality_counts_against_brute_force(spark):
         assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, t
 
 
-def test_quality_ratio_is_the_multinomials(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "c d"), (3, "a")], "doc_id long, text string")
-    ratios = quality.log_ratios(docs, [1])
-    assert ratios.max() > 0 > ratios.min()
-    total = {r["doc_id"]: r["score"] for r in quality.assess(docs, ratios).collect()}
-    assert total[1] > total[2]
+def quality_by_dictionary(spark, texts, trusted):
+    """Scores by dictionaries of hashed words and pairs; each document by the counts of the other fold."""
+    folds = {r["doc_id"]: r["fold"] for r in quality._given(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    cells = []
+    for text in texts:
+        (_, _, words), = blocks.word_slices(pa.array([text]), blocks.WHITE, blocks.EXACT)
+        one, two, inside = quality.buckets(words)
+        cells.append([*one.tolist(), *two[inside].tolist()])
+    out = []
+    for i, mine in enumerate(cells):
+        raw, target = {}, {}
+        for j, other in enumerate(cells):
+            for c in other if folds[j] != folds[i] else ():
+                raw[c] = raw.get(c, 0) + 1
+                target[c] = target.get(c, 0) + (j in trusted)
+        n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+        ratio = [np.log((target.get(c, 0) + 1) / m) - np.log((raw.get(c, 0) + 1) / n) for c in mine] if sum(target.values()) else [0.0]
+        out.append(sum(ratio) / max(1, len(mine)))
+    return out
 
 
-def test_quality_counts_every_trusted_document(spark):
-    texts = [prose(30, random.Random(i)) + f" only{i}" for i in range(12)]
-    docs = spark.createDataFrame([*enumerate(texts), (None, "no id")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 8), 0) for i in range(12)] + [(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+def test_quality_scores_are_the_cross_fitted_multinomials(spark):
+    texts = [prose(30, random.Random(i)) + f" only{i} {'good' if i < 8 else 'bad'}" for i in range(14)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8), 0) for i in range(14)] + [(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    want = quality_by_dictionary(spark, texts, set(range(8)))
+    # every trusted document counts, whatever the size of the threshold's sample, and by either way of marking
+    for sent in (quality.IDS_SENT, 0):
+        ratios = quality.log_ratios(quality.counts(docs, labels.where("quality = 1"), sent))
+        got = {r["doc_id"]: r["score"] for r in quality.assess(docs, ratios).collect()}
+        assert np.allclose([got[i] for i in range(14)], want)
     few = {r["doc_id"]: r["score"] for r in quality.quality_rules(docs, labels, trusted=2, rejected=2).collect()}
-    want = {r["doc_id"]: r["score"] for r in quality.assess(docs, quality.log_ratios(docs, list(range(8)))).collect()}
-    assert few == want
-    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
-    for i, text in enumerate([*texts, "no id"]):
-        for _, _, words in blocks.word_slices(pa.array([text]), blocks.WHITE, blocks.EXACT):
-            one, two, inside = quality.buckets(words)
-            for at in [*one, *two[inside]]:
-                raw[at] += 1
-                target[at] += i < 8
-    assert np.allclose(quality.log_ratios(docs, labels.where("quality = 1")), np.log(target / target.sum()) - np.log(raw / raw.sum()))
+    assert np.allclose([few[i] for i in range(14)], want)
+
+
+def test_quality_verdict_holds_beyond_the_labels(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(900):
+        good = i % 4 != 0
+        words = [rng.choice(SYLLABLES) + rng.choice(SYLLABLES) for _ in range(60)]
+        rows.append((i, " ".join(words if good else [w + rng.choice(["xq", "jj"]) if rng.random() < 0.5 else w for w in words]), good))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in rows if i < 600], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, labels).collect()}
+    new = [(got[i], g) for i, _, g in rows if i >= 600]
+    assert sum(k for k, g in new if g) / sum(g for _, g in new) > 0.97 and not any(k for k, g in new if not g)
 
 
 def naive_phrases(text, sample):
@@ -133,8 +157,12 @@ def test_cross_parsing_against_naive_search():
     rng = random.Random(5)
     samples = {"x": ["".join(rng.choice("abc ") for _ in range(300))], "y": ["".join(rng.choice("abd ") for _ in range(300))]}
     model = langid.Model(samples, 10_000)
-    for _ in range(40):
-        t = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 400)))
+    wide = langid.Model(samples, 10_000, cells=10)  # with hash tables
+    for k in range(60):
+        t = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 400 if k < 40 else 3000)))
+        if k > 50:  # verbatim copies over the ends of blocks
+            t = t[: rng.randint(0, 900)] + (samples["x"][0] * 6)[rng.randint(0, 50) :] + t
+        assert (model.entropies([langid.symbols(t)]) == wide.entropies([langid.symbols(t)])).all()
         shown = langid.symbols(t)
         bits = model.entropies([shown])[0]
         for k, lang in enumerate(model.langs):
@@ -360,3 +388,93 @@ def test_url_model_parts_unruled_urls(spark):
     pages = spark.createDataFrame(list(enumerate(good + bad + new)), "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(pages).collect()}
     assert got[600] == "allow" and got[601] == "block" and got[0] == "allow" and got[300] == "block"
+
+
+def test_long_copies_are_one_phrase():
+    text = prose(300, random.Random(44))
+    model = langid.Model({"x": [text], "y": ["zzz"]})
+    shown = langid.symbols(text[3 : 3 + 1728])
+    assert round(model.entropies([shown, shown[:0], shown])[2, 0] * len(shown) / np.log2(model.automata[0].size + 1)) == 1
+
+
+def test_language_learns_from_whole_texts(spark):
+    one = "aa " * 20_000 + "zebra quagga okapi " * 5_000
+    assert langid.shares([10, 1000, 1000], 1010) == [10, 500, 500]
+    docs = spark.createDataFrame([(i, one if i == 0 else prose(50), ["q", "p"][i > 0]) for i in range(5)], "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    model = langid.fit(docs, may_teach=F.lit(True))
+    assert dict(zip(model.langs, [a.size for a in model.automata], strict=True))["q"] > 20_000
+
+
+def test_long_texts_are_encoded_as_if_whole():
+    encoder = tokenfiles.Encoder()
+    encoder.encode("a")
+    whole = lambda t: encoder._encoding.encode_ordinary(t)
+    rng = random.Random(3)
+    parts = [" ", "   ", "\n\n", "\t", "word", "it's", "12 34", "é", "日本", "-- ", " ", "　", "\x1c", "x"]
+    for _ in range(600):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert encoder.encode(t, run=5, long_space=2).tolist() == whole(t), repr(t)
+    blank = " " * 2_000_000
+    assert len(encoder.encode(blank + "a b")) == len(encoder.encode(blank)) + 1
+    assert len(encoder.encode("a " * 1_000_000)) == 1_000_001
+
+
+def test_url_models_against_dictionaries(spark):
+    rng = random.Random(15)
+    rows = [(i, f"https://{rng.choice('abc')}.{rng.choice(['org/fr/', 'x.net/'])}{rng.randint(1, 99)}") for i in range(200)] + [(900, "https://q.com/a"), (901, "ftp"), (902, "")]
+    ruled = urls.with_rules(spark.createDataFrame(rows, "page_id long, url string"))
+    models = urls.fit(ruled)
+    got = {r["page_id"]: r["score"] for r in urls.scored(ruled, models).collect()}
+    counts = {"allow": {}, "block": {}}
+    seen = [(r["url"].encode(), r["ruled"]) for r in ruled.collect() if r["ruled"]]
+    for url, kind in seen:
+        if zlib.crc32(url) % urls.HELD_OUT:
+            for i in range(len(url)):
+                for k in range(urls.ORDER + 1):
+                    context = (k, (b"\xff" * k + url)[i : i + k])
+                    for key in (context, (*context, url[i])):
+                        counts[kind][key] = counts[kind].get(key, 0) + 1
+
+    def loglik(url, table):
+        total = 0.0
+        for i in range(len(url)):
+            p = 1 / 256
+            for k in range(urls.ORDER + 1):
+                context = (k, (b"\xff" * k + url)[i : i + k])
+                p = (table.get((*context, url[i]), 0) + urls.PRIOR * p) / (table.get(context, 0) + urls.PRIOR)
+            total += np.log(p)
+        return total
+
+    for i, url in rows:
+        want = (loglik(url.encode(), counts["allow"]) - loglik(url.encode(), counts["block"])) / max(1, len(url))
+        assert abs(got[i] - want) < 1e-3, (url, got[i], want)
+    assert urls.buckets(10) == urls.LEAST_BUCKETS < urls.buckets(40_000) <= urls.MOST_BUCKETS == urls.buckets(10**9)
+
+
+def test_ftrl_steps_against_a_plain_loop():
+    rng = random.Random(4)
+    model, z, n, bias = toxicity.Ftrl(size=50, l1=0.5), [0.0] * 50, [0.0] * 50, [0.0, 0.0]
+    a, b = model.alpha, model.beta
+    for _ in range(300):
+        at, y = sorted(rng.sample(range(50), rng.randint(0, 9))), rng.randint(0, 1)
+        w = {i: 0.0 if abs(z[i]) <= 0.5 else -(z[i] - (0.5 if z[i] > 0 else -0.5)) / ((b + n[i] ** 0.5) / a) for i in at}
+        wb = -bias[0] / ((b + bias[1] ** 0.5) / a)
+        g = 1 / (1 + np.exp(-(sum(w.values()) + wb))) - y
+        for i in at:
+            s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a
+            z[i], n[i] = z[i] + g - s * w[i], n[i] + g * g
+        s = ((bias[1] + g * g) ** 0.5 - bias[1] ** 0.5) / a
+        bias = [bias[0] + g - s * wb, bias[1] + g * g]
+        model.learn(np.array(at, np.int64), y)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose(model.bias, bias)
+
+
+def test_toxicity_bias_follows_all_labelled_rows(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(30, rng), int(i % 10 == 0)) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    full, cut = toxicity.fit(docs, labels), toxicity.fit(docs, labels, toxic=60, clean=60)
+    assert cut.bias < -1.2 and abs(full.bias - cut.bias) < 0.9  # without the shift it would be near 0
