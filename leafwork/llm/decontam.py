@@ -2,28 +2,27 @@
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of any other non-ASCII
 characters, so case, punctuation and line breaks don't matter. An item of L words is leaked
-by a document if some run of its words is within ``e = min(L * percent // 100, L // 4 - 1)``
-word insertions, deletions and replacements of the item. Items of fewer than four words say
-nothing and are not searched.
+by a document if some run of its words is within ``e = L * percent // 100`` word insertions, deletions and replacements
+of the item; so items of fewer than five words are leaked by their own words only.
 
 The search works on item-sized windows of the document:
 
-1. An item is cut into e + 1 pieces of four words or more. Within e edits one piece is left
-   whole, so each leak holds the first four words of a piece. All four-word runs of all
-   texts are looked up in a bitmap of these, then exactly; this loses nothing.
-2. Each window that starts within e words of where such a piece places the item is embedded
-   by a CGK random walk: it copies the current word and moves on, or stays, as a keyed bit of
+1. A lossless prefilter of window starts: an item is cut into e + 1 pieces; within e edits one piece is left
+   whole, so each leak holds the first words of a piece (four, or as many as every piece has). Runs of so many words of all
+   texts are looked up in a bitmap, then exactly; windows may start within e words of where such a
+   piece places an item of that length. A window is known by its start and length: items that share a piece share windows.
+2. Each window is embedded by CGK random walks: a walk copies the current word and moves on, or stays, as a keyed bit of
    the word and the step says. Edits become a bounded number of differing positions.
-3. Bit sampling: in each of ``REPEATS`` walks, ``SAMPLES`` positions are compared with the item's
-   walk; a window that agrees in any repeat is a candidate. (A test measures that recall
-   at the full e edits is 0.99 or more.)
-4. Candidates are verified exactly, by bit-parallel edit distance between the item and any run
-   inside the window, widened by e words.
+3. Bit sampling makes the candidates: in each of ``REPEATS`` walks the words at ``SAMPLES`` positions are the key of a bucket; items of the
+   window's length in one of its buckets are its candidates. (A test measures that recall at the full e edits is 0.99 or more.)
+4. Windows of a text and candidate that overlap are joined, and verified exactly by bit-parallel edit distance between the
+   item and any run inside them, widened by e words.
 
 The benchmark goes to the executors in blocks of at most ``ITEMS_PER_BLOCK`` items, each block
 searched in its own pass over the documents.
 
-Defined cases: null and wordless texts leak nothing; null item texts are not searched; a repeated
+Defined cases: null and wordless texts leak nothing; null and wordless items are not searched, nor items of fewer than ``least_words`` words
+(1 if not given); equal items are searched once and reported by each id; of runs with equally few edits the first end is told; a repeated
 row is reported as often as it stands; an empty table gives an empty result.
 """
 
@@ -40,10 +39,12 @@ from . import blocks
 
 PERCENT = 20
 PIECE = 4
-REPEATS, SAMPLES = 32, 2
+REPEATS, SAMPLES = 48, 2
 SEED = 0x5EED
 ITEMS_PER_BLOCK = 20_000
+WINDOWS = 4096  # embedded at a time
 _PAD = np.uint64(0)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -52,7 +53,7 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def allowed_edits(n_words: int, percent: int = PERCENT) -> int:
-    return max(0, min(n_words * percent // 100, n_words // PIECE - 1))
+    return n_words * percent // 100
 
 
 def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -79,106 +80,120 @@ def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Items:
     """A block of benchmark items, ready for search."""
 
-    def __init__(self, ids: list[int], texts: list[str], percent: int = PERCENT, repeats: int = REPEATS, samples: int = SAMPLES, seed: int = SEED):
-        known = [(i, h) for i, h in zip(ids, map(word_hashes, texts), strict=True) if len(h) >= PIECE]
-        self.ids = [i for i, _ in known]
-        self.words = [h for _, h in known]
+    def __init__(self, ids: list[int], texts: list[str], percent: int = PERCENT, repeats: int = REPEATS, samples: int = SAMPLES, seed: int = SEED, least_words: int = 1):
+        self.repeats, self.samples, self.seed = repeats, samples, seed
+        known: dict[bytes, list[int]] = {}
+        for i, text in zip(ids, texts, strict=True):
+            h = word_hashes(text)
+            if len(h) >= max(1, least_words):
+                known.setdefault(h.tobytes(), []).append(i)
+        self.ids = list(known.values())
+        self.words = [np.frombuffer(h, np.uint64) for h in known]
         self.length = np.array([len(h) for h in self.words], np.int64)
         self.edits = np.array([allowed_edits(len(h), percent) for h in self.words], np.int64)
-        keys, owners, places = [], [], []
-        for k, h in enumerate(self.words):
-            pieces = int(self.edits[k]) + 1
-            grams = blocks.windows(h, PIECE)
-            for j in range(pieces):
-                at = j * len(h) // pieces
-                keys.append(grams[at])
-                owners.append(k)
-                places.append(at)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.keys = np.array(keys, np.uint64)[order]
-        self.owners, self.places = np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.repeats, self.samples, self.seed = repeats, samples, seed
-        self.samplings = [self._embed(h, np.zeros(1, np.int64), np.array([len(h)]))[0] for h in self.words]
-
-    def _embed(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The sampled positions of the CGK walks of windows: array (window, repeat, sample).
-
-        Walks take 2 * length steps, in which a walk is expected to reach its window's end. Positions are drawn from them by length, so windows of
-        equal length share them.
+        # the prefilter, by words of a piece: keys, and of each key the distinct (length, place in the item, edits)
+        pieces: dict[int, dict[int, set[tuple[int, int, int]]]] = {}
+        for h, e in zip(self.words, self.edits.tolist(), strict=True):
+            size = min(PIECE, len(h) // (e + 1))
+            grams = blocks.windows(h, size).tolist()
+            for at in {j * len(h) // (e + 1) for j in range(e + 1)}:
+                pieces.setdefault(size, {}).setdefault(grams[at], set()).add((len(h), at, e))
+        self.gates = {}
+        for size, table in sorted(pieces.items()):
+            keys = np.array(sorted(table), np.uint64)
+            bitmap = np.zeros(1 << 20, bool)
+            bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
+            entries = [sorted(table[k]) for k in keys.tolist()]
+            self.gates[size] = bitmap, keys, np.cumsum([0] + [len(x) for x in entries]), np.array([x for few in entries for x in few], np.int64)
+        # buckets, by length of item
+        self.buckets = {}
+        for n in sorted(set(self.length.tolist())):
+            mine = np.flatnonzero(self.length == n)
+            flat = np.concatenate([self.words[k] for k in mine])
+            found = self.keys(flat, np.arange(len(mine)) * n, np.full(len(mine), n), n).reshape(-1)
+            order = np.argsort(found, kind="stable")
+            self.buckets[n] = found[order], np.repeat(mine, repeats)[order]
+
+    def keys(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, full: int) -> np.ndarray:
+        """Bucket keys of windows: array (window, repeat).
+
+        A walk may take 2 * full steps, in which it is expected to reach the end of a whole window; positions are drawn from them.
+        A window that its text cuts short goes on with padding.
         """
-        n, r = len(starts), self.repeats
-        out = np.zeros((n, r, self.samples), np.uint64)
-        if not n:
-            return out
-        steps = 2 * lengths
+        r, seed = self.repeats, np.uint64(self.seed)
         lane = np.arange(r, dtype=np.uint64)
-        draw = np.stack([blocks.mix(np.uint64(self.seed) + lane * np.uint64(64) + np.uint64(s)) for s in range(self.samples)], 1)
-        chosen = (draw[None] % steps[:, None, None].astype(np.uint64)).astype(np.int64)
+        out = np.repeat(blocks.mix(seed ^ (lane + np.uint64(1)) * _ODD)[None], len(starts), 0)
+        chosen = np.stack([blocks.mix(seed + lane * np.uint64(64) + np.uint64(s)) % np.uint64(2 * full) for s in range(self.samples)]).astype(np.int64)
         padded = np.append(words, _PAD)
-        at = np.repeat(starts[:, None], r, 1)
-        end = (starts + lengths)[:, None]
-        for j in range(int(steps.max())):
+        at, end = np.repeat(starts[:, None], r, 1), (starts + lengths)[:, None]
+        for j in range(int(chosen.max()) + 1):
             symbol = np.where(at < end, padded[np.minimum(at, len(words))], _PAD)
             for s in range(self.samples):
-                hit = chosen[:, :, s] == j
-                out[:, :, s][hit] = symbol[hit]
-            key = blocks.mix(np.uint64(self.seed * 31) + lane * np.uint64(1 << 32) + np.uint64(j))
-            at = at + ((blocks.mix(symbol ^ key[None]) & np.uint64(1)).astype(np.int64))
+                mine = np.flatnonzero(chosen[s] == j)
+                if len(mine):
+                    out[:, mine] = blocks.mix((out[:, mine] + np.uint64(s)) * _ODD ^ symbol[:, mine])
+            key = blocks.mix(seed * np.uint64(31) + (lane << np.uint64(32)) + np.uint64(j))
+            at += (blocks.mix(symbol ^ key[None]) & np.uint64(1)).astype(np.int64)
         return out
 
+    def windows(self, words: blocks.Words) -> np.ndarray:
+        """The (length, start) of all windows that the prefilter leaves, each once, in order."""
+        total, out = len(words.hash) + 1, [np.zeros(0, np.int64)]
+        for size, (bitmap, keys, first, entries) in self.gates.items():
+            grams = blocks.windows(words.hash, size)
+            at = np.flatnonzero(bitmap[(grams >> np.uint64(44)).astype(np.int64)])
+            key = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
+            owner = np.searchsorted(words.first, at, "right") - 1
+            real = (keys[key] == grams[at]) & (at + size <= words.first[owner + 1])
+            at, key, owner = at[real], key[real], owner[real]
+            some = max(1, (1 << 22) // max(1, int(np.diff(first).max() * (2 * entries[:, 2].max() + 1))))
+            for lo in range(0, len(at), some):
+                count = np.diff(first)[key[lo : lo + some]]
+                length, place, edits = entries[blocks.ranges(first[key[lo : lo + some]], count)].T
+                begin, text = np.repeat(at[lo : lo + some], count) - place, np.repeat(owner[lo : lo + some], count)
+                spread = 2 * edits + 1
+                start, length, text = blocks.ranges(begin - edits, spread), np.repeat(length, spread), np.repeat(text, spread)
+                low = words.first[text]
+                start = np.clip(start, low, np.maximum(low, words.first[text + 1] - length))
+                out.append(np.unique(length * total + start))
+        codes = np.unique(np.concatenate(out))
+        return np.stack([codes // total, codes % total])
+
+    def candidates(self, words: blocks.Words) -> np.ndarray:
+        """The distinct (item, start) of windows and the items in their buckets, in order."""
+        length, start = self.windows(words)
+        total, out = len(words.hash) + 1, [np.zeros(0, np.int64)]
+        end = words.first[np.searchsorted(words.first, start, "right")]
+        for n in np.unique(length).tolist():
+            keys, items = self.buckets[n]
+            mine = np.flatnonzero(length == n)
+            for lo in range(0, len(mine), WINDOWS):
+                s = start[mine[lo : lo + WINDOWS]]
+                found = self.keys(words.hash, s, np.minimum(n, end[mine[lo : lo + WINDOWS]] - s), n).reshape(-1)
+                left = np.searchsorted(keys, found, "left")
+                count = np.searchsorted(keys, found, "right") - left
+                out.append(np.unique(items[blocks.ranges(left, count)] * total + np.repeat(np.repeat(s, self.repeats), count)))
+        codes = np.unique(np.concatenate(out))
+        return np.stack([codes // total, codes % total])
+
     def search(self, words: blocks.Words) -> list[tuple[int, int, int, int]]:
-        """(text, item, edits, end word) of the leaks in a slice, one for each text and item at most."""
-        grams = blocks.windows(words.hash, PIECE)
-        if not len(grams) or not len(self.keys):
-            return []
-        at = np.flatnonzero(self.bitmap[(grams >> np.uint64(44)).astype(np.int64)])
-        left = np.searchsorted(self.keys, grams[at], "left")
-        count = np.searchsorted(self.keys, grams[at], "right") - left
-        at, left, count = at[count > 0], left[count > 0], count[count > 0]
-        owner = np.searchsorted(words.first, at, "right") - 1
-        inside = at + PIECE <= words.first[owner + 1]
-        at, left, count, owner = at[inside], left[inside], count[inside], owner[inside]
-        if not len(at):
+        """(text, item id, edits, end word) of the leaks in a slice, one for each text and item at most."""
+        item, start = self.candidates(words)
+        if not len(item):
             return []
-        entry = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, text, start = self.owners[entry], np.repeat(owner, count), np.repeat(at, count) - self.places[entry]
-        # windows at every start within e of the place, once each
-        spread = 2 * self.edits[item] + 1
-        shift = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-        item, text = np.repeat(item, spread), np.repeat(text, spread)
-        start = np.repeat(start - self.edits[self.owners[entry]], spread) + shift
-        lo, hi = words.first[text], words.first[text + 1]
-        start = np.clip(start, lo, np.maximum(lo, hi - self.length[item]))
-        item, text, start = np.unique(np.stack([item, text, start]), axis=1)
+        text = np.searchsorted(words.first, start, "right") - 1
+        reach = self.length[item] + 2 * self.edits[item]
+        new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (start[1:] - start[:-1] > reach[1:]))))
+        last = np.append(new[1:], len(item)) - 1
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for a in range(0, len(item), 4096):
-            i, t, s = item[a : a + 4096], text[a : a + 4096], start[a : a + 4096]
-            length = np.minimum(self.length[i], words.first[t + 1] - s)
-            sampled = self._embed_cut(words.hash, s, length, self.length[i])
-            want = np.stack([self.samplings[k] for k in i])
-            alike = (sampled == want).all(2).any(1)
-            for k, x, y in zip(i[alike].tolist(), t[alike].tolist(), s[alike].tolist(), strict=True):
-                e = int(self.edits[k])
-                low = max(int(words.first[x]), y - e)
-                high = min(int(words.first[x + 1]), y + int(self.length[k]) + e)
-                edits, end = least_edits(self.words[k], words.hash[low:high])
-                if edits <= e:
-                    one = (edits, low + end - int(words.first[x]))
-                    found[x, k] = min(found.get((x, k), one), one)
-        return [(x, k, *v) for (x, k), v in sorted(found.items())]
-
-    def _embed_cut(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, full: np.ndarray) -> np.ndarray:
-        """Embeds windows; one that its text cuts short is walked with what it has, but with the positions of the full length."""
-        out = np.zeros((len(starts), self.repeats, self.samples), np.uint64)
-        short = lengths < full
-        out[~short] = self._embed(words, starts[~short], full[~short])
-        for i in np.flatnonzero(short):
-            own = words[starts[i] : starts[i] + lengths[i]]
-            own = np.concatenate([own, np.zeros(full[i] - lengths[i], np.uint64)])
-            out[i] = self._embed(own, np.zeros(1, np.int64), full[i : i + 1])[0]
-        return out
+        for k, x, a, b in zip(item[new].tolist(), text[new].tolist(), start[new].tolist(), start[last].tolist(), strict=True):
+            e = int(self.edits[k])
+            low = max(int(words.first[x]), a - e)
+            edits, end = least_edits(self.words[k], words.hash[low : min(int(words.first[x + 1]), b + int(self.length[k]) + e)])
+            if edits <= e:
+                one = (edits, low + end - int(words.first[x]))
+                found[x, k] = min(found.get((x, k), one), one)
+        return sorted((x, i, *v) for (x, k), v in found.items() for i in self.ids[k])
 
 
 def item_blocks(benchmark: DataFrame, per_block: int = ITEMS_PER_BLOCK, **options: int) -> Iterator[Items]:
@@ -202,7 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
             for batch in batches:
                 ids, rows = batch.column(0), []
                 for lo, _, words in blocks.word_slices(batch.column(1), blocks.NOT_ALNUM, blocks.LOWER):
-                    rows += [(lo + x, items.ids[i], e, end) for x, i, e, end in items.search(words)]
+                    rows += [(lo + x, i, e, end) for x, i, e, end in items.search(words)]
                 if rows:
                     at, item, edits, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(item, pa.int64()), pa.array(edits, pa.int32()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "edits", "end_word"])
