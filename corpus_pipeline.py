@@ -5,7 +5,9 @@ columns of documents. run() chains them with each result written and read again.
 
 Defined cases: an empty table passes through as one; null texts go at the language stage, as they
 have no language; rows with a null doc_id are near-duplicates of nothing and stay; columns
-besides those of documents are carried along.
+besides those of documents are carried along up to the last stage, whatever their names. Repeated rows: of rows that are near-duplicates, under one
+doc_id or several, one stays; rows without words all stay. Ties: the smallest doc_id, then the least fingerprint. Very long texts
+are worked on whole in every stage.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: the one with the smallest doc_id."""
-    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """One document of each near-duplicate component stays: the one with the smallest doc_id (of its rows, one)."""
+    return minhash.deduplicated(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

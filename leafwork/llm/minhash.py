@@ -9,8 +9,9 @@ Plan, with no list of all pairs at any point:
 
 1. One Arrow pass gives each row its set size, a 128-bit fingerprint of the set and
    ``hashes`` minima of universal multiply-add hashes (the top 32 bits of each).
-2. Rows with equal fingerprints form a class; only its smallest doc_id goes on. So a group
-   of exact copies, however large, is one row from here.
+2. Rows with equal fingerprints form a class; only one row with its smallest doc_id goes on. So a group
+   of exact copies, however large, is one row from here. A class is known by that doc_id or, where several
+   classes have the same (repeated ids with different texts), by it and a number.
 3. Bands of the signature are bucket keys. In each bucket every class is paired with the
    bucket's pivot, the member that shares most buckets with others; pairs that the signatures leave possible are confirmed on full sets.
    Components come from the confirmed links. Then classes outside of their pivot's
@@ -22,8 +23,9 @@ With 300 hashes in 50 bands of 6 a pair at similarity 0.75 escapes all buckets w
 probability 6e-5, and the signature filter (an estimate below 0.67) with 7e-4; both fall fast above.
 
 Nulls and ties: rows with a null doc_id keep a null component_id and stay (kept is true);
-rows that repeat a doc_id are documents of their own with the same id, and both stay if
-that id is the smallest; an empty table gives an empty result.
+rows that repeat a doc_id are documents of their own with the same id, linked by their own texts, and both stay if
+that id is the smallest of its component; an empty table gives an empty result. ``deduplicated`` keeps one row of each component,
+and all rows without words or without an id.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks
 from .store import Scratch
@@ -116,17 +119,23 @@ def features(docs: DataFrame, hashes: int = HASHES, seed: int = SEED) -> DataFra
 
 
 def shingle_arrays(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): distinct shingle hashes of each row."""
+    """docs (with text, without its column) with fp_a, fp_b (null for an empty set) and shingles: distinct shingle hashes of each row."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    fields = [*kept, T.StructField("fp_a", T.LongType()), T.StructField("fp_b", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
+    none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, words in blocks.word_slices(batch.column(1), blocks.WHITE, blocks.LOWER):
+            for lo, hi, words in blocks.word_slices(batch.column(len(kept)), blocks.WHITE, blocks.LOWER):
                 flat, offsets = shingle_sets(words)
+                full = np.diff(offsets) > 0
+                prints = [np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)]
+                for put, got in zip(prints, signatures(flat, offsets, none, none), strict=False):
+                    put[full] = got
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[: len(kept)]], *[pa.array(x, mask=~full) for x in prints], lists], names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(*[f"`{f.name}`" for f in kept], "text").mapInArrow(run, T.StructType(fields))
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
@@ -167,13 +176,49 @@ def _sizes_allow(x: str, y: str, percent: int) -> Column:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, hashes: int = HASHES, rows_per_band: int = ROWS_PER_BAND, seed: int = SEED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs (columns doc_id and text; others are ignored)."""
+    return judged(docs, percent, hashes, rows_per_band, seed).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each component. Texts move only for ids that stand in several rows."""
+    verdicts = judged(docs, **options).where("doc_id is not null")
+    ids = Scratch(docs.sparkSession, "deduplicated").keep(verdicts.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_any")), "ids")
+    plain = docs.join(ids.where("not _any or _rows > 1"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    again = ids.where("_any and _rows > 1")
+    if again.isEmpty():
+        return plain
+    # an id of several rows: the fingerprint tells which of them stay, and of equal ones one does
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = shingle_arrays(named.join(again.select(F.col("_id").alias("doc_id")), "doc_id", "left_semi")).drop("shingles")
+    stay = verdicts.where("kept").select(*[F.col(c).alias(c + "_") for c in ("doc_id", "fp_a", "fp_b")]).distinct()
+    rows = rows.join(stay, (F.col("doc_id") == F.col("doc_id_")) & F.col("fp_a").eqNullSafe(F.col("fp_a_")) & F.col("fp_b").eqNullSafe(F.col("fp_b_")), "left_semi")
+    once = rows.where("fp_a is not null").dropDuplicates(["doc_id", "fp_a", "fp_b"])
+    # two classes of one component may have the same smallest id
+    per_component = verdicts.where("kept and fp_a is not null").groupBy("component").agg(F.min(F.struct("fp_a", "fp_b")).alias("p")).select(F.col("p.fp_a").alias("fp_a"), F.col("p.fp_b").alias("fp_b"))
+    once = once.join(per_component, ["fp_a", "fp_b"], "left_semi")
+    return plain.unionByName(once.unionByName(rows.where("fp_a is null")).select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+def judged(docs: DataFrame, percent: int = PERCENT, hashes: int = HASHES, rows_per_band: int = ROWS_PER_BAND, seed: int = SEED) -> DataFrame:
+    """near_duplicates() with fp_a and fp_b, the fingerprint of each row's set, and component, the class that names it."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = scratch.keep(features(base, hashes, seed), "features")
     known = feats.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.keep(known.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    reps = known.join(classes.select("fp_a", "fp_b", F.col("rep").alias("doc_id")), ["fp_a", "fp_b", "doc_id"], "left_semi").select(F.struct("fp_a", "fp_b").alias("cls"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature")
+    classes = known.groupBy("fp_a", "fp_b", "doc_id").agg(F.count("*").alias("rows"), F.first("n_shingles").alias("n"))
+    classes = scratch.keep(classes.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("doc_id"), F.min_by("rows", "doc_id").alias("rows"), F.first("n").alias("n")), "classes")
+    # nodes are ordered as the smallest ids of their classes: a component's least node tells its smallest id
+    spread = classes.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    stored = classes
+    if spread == 1:
+        classes = classes.withColumn("rep", F.col("doc_id"))
+    else:
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("fp_a", "fp_b")) - 1
+        classes = stored = scratch.keep(classes.withColumn("rep", (F.col("doc_id").cast("decimal(20,0)") * F.lit(spread).cast("decimal(17,0)") + number.cast("decimal(17,0)")).cast("decimal(38,0)")), "named")
+    repeated = not classes.where("rows > 1").isEmpty()
+    once = (lambda df: df.dropDuplicates(["rep"])) if repeated else (lambda df: df)
+    reps = once(known.join(classes.select("fp_a", "fp_b", "doc_id", "rep"), ["fp_a", "fp_b", "doc_id"]).select("fp_a", "fp_b", "doc_id", "rep", F.col("n_shingles").alias("n"), "signature"))
 
     n_bands = hashes // rows_per_band
     keys = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows_per_band + 1, rows_per_band)))
@@ -185,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hashes: int = HASHE
     scratch.drop(joint)
     middle = F.max(F.struct("meets", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
     shared = buckets.groupBy("key").agg(middle).select("key", "p.pivot", "p.pivot_n")
-    signed = scratch.keep(reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "signature", keys.alias("keys")).dropDuplicates(["rep"]), "signed")
+    signed = scratch.keep(reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "fp_a", "fp_b", "n", "signature", keys.alias("keys")), "signed")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) whose signatures leave the link possible."""
@@ -194,12 +239,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hashes: int = HASHE
         right = signed.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
         return pairs.join(left, "a").join(right, "b").where(_agreement("sa", "sb") >= int(LEAST_ESTIMATE * hashes)).select("a", "b", "na", "nb")
 
-    sets = scratch.keep(shingle_arrays(base.join(signed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")), "sets")
-    one_set = sets.join(signed.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(F.size("shingles") == F.col("n")).dropDuplicates(["doc_id"]).select("doc_id", "shingles")
+    if spread == 1:
+        wanted = base.join(signed.select("doc_id", "rep", F.col("fp_a").alias("want_a"), F.col("fp_b").alias("want_b")), "doc_id")
+        sets = shingle_arrays(wanted).where("fp_a = want_a and fp_b = want_b")
+    else:  # an id of many texts meets its classes by fingerprint
+        sets = shingle_arrays(base.join(signed.select("doc_id"), "doc_id", "left_semi")).join(signed.select("doc_id", "fp_a", "fp_b", "rep"), ["doc_id", "fp_a", "fp_b"])
+    one_set = scratch.keep(once(sets.select("rep", "shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = one_set.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa"))
-        right = one_set.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
+        left = one_set.select(F.col("rep").alias("a"), F.col("shingles").alias("xa"))
+        right = one_set.select(F.col("rep").alias("b"), F.col("shingles").alias("xb"))
         both = F.size(F.array_intersect("xa", "xb"))
         return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
@@ -242,9 +291,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hashes: int = HASHE
     links = scratch.keep(confirmed(more).unionByName(so_far(components)), "links")
     components = grouped(links)
 
-    scratch.drop_all_but(feats, classes, components)
+    scratch.drop_all_but(feats, stored, components)
 
     final = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "n_shingles", "fp_a", "fp_b").join(final, ["fp_a", "fp_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = F.col("component") if spread == 1 else F.floor(F.col("component") / F.lit(spread).cast("decimal(17,0)")).cast("long")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(least, "doc_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

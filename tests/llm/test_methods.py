@@ -66,6 +66,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(got[i]["kept"] == (find(i) == i) for i in range(len(texts)))
 
 
+def test_repeated_ids_keep_their_own_texts(spark):
+    t1, t2 = prose(60, random.Random(1)), prose(60, random.Random(2))
+    near = " ".join([*t2.split()[:-1], "other"])
+    rows = [(1, t1), (5, t2), (5, t1), (7, t2), (9, near), (5, t2), (None, t1), (11, None), (11, None), (12, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (11, 11, True), (12, 12, True)]
+    kept = [tuple(r) for r in minhash.deduplicated(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, t1), (5, t2), (None, t1), (11, None), (11, None), (12, " ")], key=str)
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    for seed in (1, 2, 3):
+        rng, rows = random.Random(seed), []
+        for i in range(150):
+            words = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]  # noqa: B023, E731
+            shared = words(64)
+            rows += [(2 * i, " ".join(shared + words(10))), (2 * i + 1, " ".join(shared + words(10)))]  # 60 of 80 shingles
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), seed=seed).collect()}
+        assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 149
+
+
 def test_components_of_paths_and_stars(spark):
     from leafwork.llm.store import Scratch
 
@@ -270,10 +292,35 @@ def test_token_files_from_disk(spark, tmp_path):
     assert [n for r in found for n in r["lengths"]] == [2, 0, 1] and found[-1]["open_tokens"] == 2
 
 
+def plain_edits(item, text):
+    """Least edits from item to any run of text, by the textbook table."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for w in text:
+        new = [0]
+        for i, x in enumerate(item):
+            new.append(min(row[i] + (x != w), row[i + 1] + 1, new[i] + 1))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_least_edits_against_the_table():
+    rng = random.Random(17)
+    for _ in range(300):
+        item, text = [rng.randint(1, 4) for _ in range(rng.randint(1, 70))], [rng.randint(1, 4) for _ in range(rng.randint(0, 90))]
+        edits, end = decontam.least_edits(np.array(item, np.uint64), np.array(text, np.uint64))
+        assert edits == plain_edits(item, text)
+        assert edits == len(item) or plain_edits(item, text[:end]) == edits < plain_edits(item, text[: end - 1])
+
+
 def test_leak_recall_and_precision():
     rng = random.Random(4)
-    texts = [prose(rng.randint(14, 59), rng) for _ in range(60)]
-    items = decontam.Items(list(range(60)), texts)
+    lengths = [*range(1, 12), *[rng.randint(12, 70) for _ in range(60)], 300]
+    texts = [" ".join(f"w{rng.randint(1, 400)}" for _ in range(n)) for n in lengths]
+    items = decontam.Items(list(range(len(texts))), texts)
+    where = {k: i for i, ids in enumerate(items.ids) for k in ids}
+    other = lambda: prose(40, rng)
     hit = total = 0
     for i, t in enumerate(texts):
         for kind in "sid":
@@ -281,19 +328,29 @@ def test_leak_recall_and_precision():
             for _ in range(decontam.allowed_edits(len(w))):
                 p = rng.randrange(len(w))
                 if kind == "s":
-                    w[p] = rng.choice(SYLLABLES)
+                    w[p] = "other"
                 elif kind == "i":
-                    w.insert(p, rng.choice(SYLLABLES))
+                    w.insert(p, "other")
                 else:
                     del w[p]
-            text = prose(30, rng) + "\n" + " ".join(w).upper() + ". " + prose(30, rng)
+            text = other() + "\n" + " ".join(w).upper() + ". " + other()
             for _, _, words in blocks.word_slices(pa.array([text]), blocks.NOT_ALNUM, blocks.LOWER):
-                truth = {k for k in range(60) if decontam.least_edits(items.words[k], words.hash)[0] <= items.edits[k]}
+                truth = {k for k in range(len(texts)) if plain_edits(items.words[where[k]].tolist(), words.hash.tolist()) <= decontam.allowed_edits(lengths[k])}
                 found = {k for _, k, _, _ in items.search(words)}
-                assert found <= truth
+                assert found <= truth and i in truth
                 total += len(truth)
                 hit += len(found)
-    assert hit / total >= 0.99
+    assert hit / total >= 0.99 and total > 200
+
+
+def test_many_items_of_one_template():
+    rng = random.Random(14)
+    opening = prose(12, rng)
+    texts = [f"{opening} {prose(20, rng)}" for _ in range(300)]
+    items = decontam.Items([*range(300), 900], [*texts, texts[0]])
+    text = " ".join(texts)
+    for _, _, words in blocks.word_slices(pa.array([text]), blocks.NOT_ALNUM, blocks.LOWER):
+        assert {k for _, k, e, _ in items.search(words) if e == 0} == {*range(300), 900}
 
 
 def test_license_rules(spark):
@@ -477,4 +534,4 @@ def test_toxicity_bias_follows_all_labelled_rows(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
     full, cut = toxicity.fit(docs, labels), toxicity.fit(docs, labels, toxic=60, clean=60)
-    assert cut.bias < -1.2 and abs(full.bias - cut.bias) < 0.9  # without the shift it would be near 0
+    assert full.bias < cut.bias < -1.2  # without the shift it would be near 0.6
