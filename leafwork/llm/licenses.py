@@ -1,8 +1,7 @@
 """Licence scans: ordered signature rules over a text's words, with keyword gates. DataFrame functions only.
 
 Words: A-Z lower-cased, runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``, that is of ASCII letters
-and digits and of non-ASCII characters. (The text is lower-cased as a whole; that makes no ASCII
-letter but k out of another character, and no base phrase has a k.) Rules are regular
+and digits and of non-ASCII characters. Rules are regular
 expressions over the words with one blank between them, anchored at words.
 
 A rule has a label, a priority and two lists of word starts: each of its matches has a word that
@@ -13,7 +12,7 @@ intervals. One is suppressed if another of higher priority contains it, or a lar
 equal priority; base phrases always stay. The score is the highest priority left, as a share of the highest one.
 
 Defined cases: a null text is empty: no words, no labels, score 0; null ids stay; repeated rows are
-judged one by one; an empty table gives an empty result.
+judged one by one; of equal intervals of one priority all labels stay (a tie); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +22,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import earlier, let, running, sums
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -119,6 +120,67 @@ TEXTS = [
     ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", "proprietary"),
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies", "verbatim"),
     ("no-warranty", "without warranties or conditions of any kind", "warranties"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial"),
+    ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy of this software without restriction", "hereby"),
+    ("x11", "except as contained in this notice the name of (?:the )?(?:[^ ]+ ){1,6}shall not be used in advertising", "advertising"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", "disclaims"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising"),
+    ("bsd-patent", "subject to the terms and conditions of this license each copyright holder and contributor hereby grants", "hereby"),
+    ("apache-1", "this product includes software developed by the apache (?:group|software foundation)", "apache"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "applicable"),
+    ("apache-2", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants", "hereby"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document", "verbatim"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "gnu"),
+    ("gpl", "either version [123] of the license or (?:at your option )?any later version", "later"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", "lesser"),
+    ("agpl-3", "you should have received a copy of the gnu affero general public license along with this program", "affero"),
+    ("agpl-3", "remote network interaction use with the gnu general public license", "remote"),
+    ("classpath", "as a special exception the copyright holders of this library give you permission to link", "exception"),
+    ("fdl-1", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "documentation"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license", "eclipse"),
+    ("cddl-1", "the contents of this file are subject to the terms of the common development and distribution license", "development"),
+    ("mpl-1", "the contents of this file are subject to the mozilla public license version 1", "mozilla"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "intent"),
+    ("bsl-1", "to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented"),
+    ("zlib", "altered source versions must be plainly marked as such", "altered"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone"),
+    ("ofl-1", "the font software may be sold as part of a larger software package", "font"),
+    ("ofl-1", "no reserved font names?", "reserved"),
+    ("python", "this license agreement is between the python software foundation", "python"),
+    ("openssl", "this product includes software developed by the openssl project", "openssl"),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided", "hereby"),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose", "documentation"),
+    ("hpnd", "in advertising or publicity pertaining to distribution of the software without specific", "publicity"),
+    ("sspl-1", "if you make the functionality of the program or a modified version available to third parties as a service", "functionality"),
+    ("busl-1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "licensor"),
+    ("elastic-2", "you may not provide the software to third parties as a hosted or managed service", "hosted"),
+    ("commons-clause", "the grant of rights under the license will not include and the license does not grant to you the right to sell the software", "sell"),
+    ("json", "the software shall be used for good not evil", "evil"),
+    ("beerware", "if we meet some ?day and you think this stuff is worth it you can buy me a beer in return", "beer"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", "appropriate"),
+    ("cc-by-nc", "you may not use the (?:material|work) for commercial purposes", "commercial"),
+    ("cc-by-sa", "you must distribute your contributions under the same license as the original", "contributions"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", "remix"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "deed"),
+    ("odbl-1", "you are free to share create and adapt the database", "adapt"),
+    ("public-domain", "this (?:work|file|software|text) is (?:hereby )?in the public domain", "public"),
+    ("public-domain", "(?:i|we|the authors?) (?:hereby )?(?:dedicate|release|disclaim) (?:[^ ]+ ){1,8}public domain", "public"),
+    ("proprietary", "unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:[^ ]+ ){0,12}(?:is )?(?:strictly )?prohibited", "unauthori"),
+    ("proprietary", "no part of this (?:publication|book|document|work) may be reproduced", "reproduced"),
+    ("proprietary", "this (?:software|document) contains (?:confidential|proprietary) (?:and (?:confidential|proprietary) )?information", "confidential|proprietary"),
+    ("proprietary", "(?:all )?other rights reserved", "reserved"),
+    ("no-commercial", "for non ?commercial use only", "commercial|noncommercial"),
+    ("no-commercial", "for (?:personal|educational|academic|research) use only", "personal|educational|academic|research"),
+    ("no-derivatives", "no derivative works (?:are )?(?:allowed|permitted)", "derivative"),
+    ("attribution", "reproduced (?:here )?with (?:the )?permission (?:of|from)", "reproduced"),
+    ("attribution", "may be freely (?:copied|distributed|reproduced|used) (?:[^ ]+ ){0,8}(?:provided|as long as|with attribution)", "freely"),
+    ("government-work", "(?:is )?a work of the (?:united states|u s) government", "government"),
+    ("patent", "(?:this|the) (?:product|software) is protected by (?:one or more )?(?:u s |united states )?patents", "patents"),
+    ("trademark", "(?:is a|are) (?:registered )?trademarks? of", "trademark"),
 ]
 
 HIGHEST = 5
@@ -126,7 +188,7 @@ HIGHEST = 5
 
 def rules() -> list[dict]:
     """All rules: label, priority, words and also (word starts, of each of which a match has one), pattern."""
-    out = [{"label": label, "priority": HIGHEST, "words": [word], "also": [], "pattern": pattern} for label, pattern, word in TEXTS]
+    out = [{"label": label, "priority": HIGHEST, "words": word.split("|"), "also": [], "pattern": pattern} for label, pattern, word in TEXTS]
     for label, names, words in NAMES:
         for priority, frame, also in FRAMES:
             # a name of one word is no mention by itself
@@ -151,32 +213,34 @@ def _count_blanks(s: Column) -> Column:
 def _intervals(text: Column, rule: Column) -> Column:
     """Word intervals of a rule's matches in the padded words."""
     pairs = F.filter(F.arrays_zip(F.regexp_extract_all(text, rule["pattern"], F.lit(0)).alias("m"), F.split(text, rule["pattern"], F.lit(-1)).alias("g")), lambda p: p["m"].isNotNull())
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        first = acc["at"] + _count_blanks(p["g"])
-        last = first + _count_blanks(p["m"])
-        one = F.struct(first.alias("start"), (last + 1).alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    lasts = sums(F.transform(pairs, lambda p: _count_blanks(p["g"]) + _count_blanks(p["m"])))
+    one = lambda p, last: F.struct((last - 1 - _count_blanks(p["m"])).alias("start"), last.alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"))
+    return let(pairs, lambda pairs: F.zip_with(pairs, lasts, one))
 
 
 def _unsuppressed(found: Column) -> Column:
-    """Detections that none of higher priority, and no larger one of equal priority, contains: one pass by start, with the farthest end of each priority."""
+    """Detections that none of higher priority, and no larger one of equal priority, contains.
+
+    In order of start (longest and highest first) a container stands before what it contains, so the farthest end of each
+    priority up to there decides; of equally far ends the earliest start does.
+    """
     ordered = F.array_sort(found, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["end"] != y["end"], y["end"] - x["end"]).otherwise(y["priority"] - x["priority"]))
-    none = F.array_repeat(F.lit(-1), HIGHEST + 1)
-    start = F.struct(none.alias("ends"), none.alias("starts"), F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("out"))
+    none = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("back"))
+
+    def farthest(of: Column, p: Column) -> Column:
+        mine = F.transform(of, lambda d: F.when(d["priority"] == p, F.struct(d["end"].alias("end"), (-d["start"]).alias("back"))).otherwise(none))
+        return earlier(running(mine, "struct<end:int,back:int>", lambda a, b: F.greatest(a, b)), none)
+
+    def kept(of: Column, far: Column) -> Column:
+        def stays(d: Column, i: Column) -> Column:
+            above = F.exists(far, lambda f: (f["p"] > d["priority"]) & (F.get(f["v"], i)["end"] >= d["end"]))
+            own = lambda f: (f["p"] == d["priority"]) & ((F.get(f["v"], i)["end"] > d["end"]) | ((F.get(f["v"], i)["end"] == d["end"]) & (-F.get(f["v"], i)["back"] < d["start"])))
+            return ~(above | F.exists(far, own))
 
-    def step(acc: Column, d: Column) -> Column:
-        p = d["priority"]
-        above = F.exists(F.slice(acc["ends"], p + 2, HIGHEST + 1), lambda e: e >= d["end"])
-        own_end, own_start = F.element_at(acc["ends"], p + 1), F.element_at(acc["starts"], p + 1)
-        equal = (own_end >= d["end"]) & ~((own_end == d["end"]) & (own_start == d["start"]))
-        farther = lambda old, new: F.transform(old, lambda v, i: F.when((i == p) & (own_end < d["end"]), new).otherwise(v))
-        return F.struct(farther(acc["ends"], d["end"]).alias("ends"), farther(acc["starts"], d["start"]).alias("starts"), F.when(above | equal, acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out"))
+        return F.filter(of, stays)
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+    by_priority = lambda of: F.transform(F.array(*[F.lit(p) for p in range(1, HIGHEST + 1)]), lambda p: F.struct(p.alias("p"), farthest(of, p).alias("v")))
+    return let(ordered, lambda of: let(by_priority(of), lambda far: kept(of, far)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -185,7 +249,7 @@ def scan(docs: DataFrame) -> DataFrame:
     given = rules()
     table, phrases = F.from_json(F.lit(json.dumps(given)), kind), F.from_json(F.lit(json.dumps(given[-len(BASE) :])), kind)
     key = " " + _starts(sorted({w for r in given for w in r["words"] + r["also"]})) + "[^ ]*"
-    out = docs.withColumn("_text", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = docs.withColumn("_text", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     out = out.withColumn("_n_words", F.regexp_count("_text", F.lit(WORD)).cast("long"))
     out = out.withColumn("_words", F.concat(F.lit(" "), F.trim(F.regexp_replace("_text", NOT_WORD, " ")), F.lit(" ")))
     out = out.withColumn("_hits", F.array_join(F.array_distinct(F.regexp_extract_all("_words", F.lit(key), F.lit(0))), ""))
