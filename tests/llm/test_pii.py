@@ -57,3 +57,49 @@ def test_redaction_and_empty_table(spark):
     assert got[1].text == "write to [EMAIL] now" and got[1].n_chars == 20
     assert got[2].text is None and got[3].text == "nothing"
     assert pii.personal_data(docs.limit(0)).count() == 0 and pii.redact(docs).columns == docs.columns
+
+
+def test_many_spans_take_linear_steps(spark):
+    n = 12_000
+    text = " ".join(f"a{i}@b.de" for i in range(n)) + " é " + " ".join(f"key=abc{i:06d}x" for i in range(300))
+    docs = spark.createDataFrame([(1, text, "x", "y", "z")], "doc_id long, text string, _text string, _spans string, _digit string")
+    got = pii.personal_data(docs).first()
+    assert got.n_email == n
+    told = [t for t in got.spans.split(",") if t.startswith("email")]
+    assert told == [f"email:{m.start()}:{m.end()}" for m in EMAIL.finditer(text)]
+    new = pii.redact(docs).first()
+    assert new.text.startswith("[EMAIL] [EMAIL] ") and new.text.count("[EMAIL]") == n and "@" not in new.text and " é " in new.text
+    assert (new["_text"], new["_spans"], new["_digit"]) == ("x", "y", "z")
+
+
+def test_candidates_without_digits_and_names_beyond_the_list(spark):
+    rows = [(i, f"the login has password={'qwertzuiop'[i % 5:]}asdf and so on, {i}.") for i in range(30)]
+    rows += [(100 + i, f"please contact Dr. {['Anna', 'Xaver', 'Zoltan'][i % 3]} Meier about it, {i}.") for i in range(30)]
+    rows += [(200 + i, "New York is large. The Big Apple it is.") for i in range(30)]
+    rows += [(300, "x" * 100 + "1" + "y" * 10 + " token=" + "abcdefgh" * 3)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("secret:" in got[i] for i in range(30)), got
+    assert all("name:" in got[100 + i] for i in range(0, 30, 3))
+    assert not any(got[200 + i] for i in range(30))
+
+
+def test_running_folds_of_long_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from leafwork.llm import arrays
+
+    rng = random.Random(2)
+    rows = [([rng.randint(-5, 9) for _ in range(n)],) for n in (0, 1, 63, 64, 65, 100, 101, 1000, 1023)]
+    for r in spark.createDataFrame(rows, "x array<int>").select("x", arrays.sums(F.col("x")).alias("s"), arrays.running(F.col("x"), "int", lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        assert r.s == [sum(r.x[: i + 1]) for i in range(len(r.x))] and r.m == [max(r.x[: i + 1]) for i in range(len(r.x))]
+
+
+def test_clear_of_many_spans(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    span = lambda: (lambda a: (a, a + rng.randint(1, 6)))(rng.randint(0, 400))
+    rows = [([(5 * i, 5 * i + rng.randint(1, 5)) for i in range(90)], [span() for _ in range(n)]) for n in (0, 3, 64, 65, 80)]
+    kind = "array<struct<start:int,end:int>>"
+    for r in spark.createDataFrame(rows, f"s {kind}, o {kind}").select("s", "o", pii._clear(F.col("s"), F.col("o")).alias("c")).collect():
+        assert r.c == [s for s in r.s if not any(b.start < s.end and s.start < b.end for b in r.o)]
