@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.exprs import apply_affine, compose_affine
 from . import segments
 
@@ -195,7 +196,7 @@ def reconciled(paths: DataFrame, pages: DataFrame, keys: list[str], eps: float =
     Rectangles give their edges, or one line if thin; single axis-parallel strokes merge into dash runs; polygons, rounded and free
     paths give their segments; a single slanted stroke stands as it is, and a short one vanishes.
     """
-    c = classified(paths, pages, keys)
+    c = cut(classified(paths, pages, keys))  # four branches read it; the fold over operators runs once
     rect = c.where("kind = 'RECT'").withColumns({"x": F.col("l"), "y": F.col("t"), "w": F.col("r") - F.col("l"), "h": F.col("b") - F.col("t")})
     out = segments.thin_rects(rect.select(*keys, "id", "stroke_width", "x", "y", "w", "h"), eps).select(*keys, F.lit("rect").alias("origin"), "id", "x1", "y1", "x2", "y2", "stroke_width")
     single = c.where("kind = 'FREE_PATH' and size(view) = 1").select(*keys, F.col("id").alias("seq"), "stroke_width", "stroke_color", F.col("view")[0].alias("v")).select(*keys, "seq", "stroke_width", "stroke_color", "v.*")

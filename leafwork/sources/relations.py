@@ -30,10 +30,10 @@ select page, 'H' kind, cast(50 as double) x1, y y1, cast(case when (page + k) %
 union all select page, 'H', cast(305 as double), y, cast(610 as double), y from h where (page + k) % 4 = 0
 union all select page, 'V', cast(50 + 140 * j as double), cast(32 + 24 * r as double), cast(50 + 140 * j as double), cast(56 + 24 * r as double) from v where not (j between 1 and 3 and (page + 5 * r + j) % 7 = 0))"""
 
-#: In Spark a grid has as many lines as its order asks for; the other text stops at the 20th.
+#: A grid has as many lines as its order asks for.
 SEGMENTS = {
     "spark": re.sub(r"ks as \(.*\),", "ks as (select page, n, explode(sequence(0, cast(n as int))) k from n),", _SEGMENTS),
-    "duckdb": _SEGMENTS,
+    "duckdb": re.sub(r"ks as \(.*\),", "ks as (select page, n, unnest(range(n + 1)) k from n),", _SEGMENTS),
 }
 
 #: Image boxes on pages of 20.
