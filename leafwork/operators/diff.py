@@ -20,32 +20,38 @@ def units(text: Column, by: str) -> Column:
 
 
 def common_length(a: list[str], b: list[str]) -> int:
-    return int(_table(a, b)[0, 0])
+    return _choices(a, b)[1]
 
 
-def _table(a: list[str], b: list[str]) -> np.ndarray:
-    """Lengths of longest common subsequences of all suffix pairs. Each row is one running maximum, as rows of such a table never fall."""
+def _choices(a: list[str], b: list[str]) -> tuple[np.ndarray, int]:
+    """Of each pair of suffixes, a bit that tells whether leaving out the left one's first unit keeps as much as leaving out the right one's; and the length of the longest common subsequence.
+
+    A row of lengths is one running maximum over the row below, as rows of such a table never fall; only one row is held, and a bit a cell.
+    """
     codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
     y = np.array([codes[x] for x in b], np.int64)
-    out = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    bits = np.zeros((len(a), -(-len(b) // 8)), np.uint8)
+    below = np.zeros(len(b) + 1, np.int32)
     for i in range(len(a) - 1, -1, -1):
-        below = out[i + 1]
+        row = np.zeros(len(b) + 1, np.int32)
         step = np.where(y == codes[a[i]], below[1:] + 1, below[:-1])
-        out[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    return out
+        row[:-1] = np.maximum.accumulate(step[::-1])[::-1]
+        bits[i] = np.packbits(below[:-1] >= row[1:])
+        below = row
+    return bits, int(below[0])
 
 
 def parts(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
     """(kind, values) runs with kind same, removed or added; removals come before additions."""
     lead = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    table = _table(a[lead:], b[lead:])
+    bits, _ = _choices(a[lead:], b[lead:])
     steps = [("same", x) for x in a[:lead]]
     i, j, left, right = 0, 0, a[lead:], b[lead:]
     while i < len(left) or j < len(right):
         if i < len(left) and j < len(right) and left[i] == right[j]:
             steps.append(("same", left[i]))
             i, j = i + 1, j + 1
-        elif i < len(left) and (j == len(right) or table[i + 1, j] >= table[i, j + 1]):
+        elif i < len(left) and (j == len(right) or bits[i, j >> 3] >> (7 - (j & 7)) & 1):
             steps.append(("removed", left[i]))
             i += 1
         else:

@@ -227,6 +227,19 @@ def word_diff_stats(spark, sf_dir):
     return diff.diff_stats(diff.diff_parts(_pairs(spark, sf_dir), ["a", "b"], "words"), ["a", "b"])
 
 
+@query(f"with p as ({S.DIFF_PAIRS}) select a, b, x.text as left, y.text as right from p join documents x on x.doc_id = a join documents y on y.doc_id = b".replace("as left", 'as "left"').replace("as right", 'as "right"'))
+def diff_sides(spark, sf_dir):
+    return diff.diff_views(diff.diff_parts(_pairs(spark, sf_dir), ["a", "b"], "lines"), ["a", "b"]).select("a", "b", "left", "right")
+
+
+@query(f"with p as ({S.DIFF_PAIRS}), n as (select doc_id, length(text) n from documents) select a, b, x.n left_chars, y.n right_chars from p join n x on x.doc_id = a join n y on y.doc_id = b")
+def word_diff_sides(spark, sf_dir):
+    """Characters of the units that a word diff puts on either side: all of them."""
+    found = diff.diff_parts(_pairs(spark, sf_dir), ["a", "b"], "words")
+    side = lambda kind: F.coalesce(F.sum(F.when(F.col("kind").isin("same", kind), F.char_length("value"))), F.lit(0))
+    return found.groupBy("a", "b").agg(side("removed").alias("left_chars"), side("added").alias("right_chars"))
+
+
 @query()
 def diff_views(spark, sf_dir):
     return diff.diff_views(diff.diff_parts(_pairs(spark, sf_dir), ["a", "b"], "lines"), ["a", "b"])

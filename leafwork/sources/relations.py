@@ -60,8 +60,8 @@ MARKUP = {
 
 #: Pairs of documents with the same first line.
 DIFF_PAIRS = {
-    "spark": "with f as (select doc_id, split(text, '\\n') l from {documents}), g as (select doc_id, l[0] k from f where size(l) <= 40) select a, b from (select doc_id a, lead(doc_id) over (partition by k order by doc_id) b from g) where b is not null",
-    "duckdb": "with f as (select doc_id, string_split(text, chr(10)) l from {documents}), g as (select doc_id, l[1] k from f where len(l) <= 40) select a, b from (select doc_id a, lead(doc_id) over (partition by k order by doc_id) b from g) where b is not null",
+    "spark": "with f as (select doc_id, split(text, '\\n') l from {documents}), g as (select doc_id, l[0] k from f) select a, b from (select doc_id a, lead(doc_id) over (partition by k order by doc_id) b from g) where b is not null",
+    "duckdb": "with f as (select doc_id, string_split(text, chr(10)) l from {documents}), g as (select doc_id, l[1] k from f) select a, b from (select doc_id a, lead(doc_id) over (partition by k order by doc_id) b from g) where b is not null",
 }
 
 #: Boxes with confidences.
