@@ -279,7 +279,8 @@ def classifiers(counts: dict[int, int]) -> Classifier:
 
 
 def _fitted(candidates: DataFrame) -> Classifier:
-    rows = candidates.select(F.explode("_cand.code").alias("code")).groupBy("code").count().collect()
+    # explode() would have the optimiser test each text's candidates in a filter of its own, and so find them twice or more
+    rows = candidates.select(F.explode_outer("_cand.code").alias("code")).where("code is not null").groupBy("code").count().collect()
     return classifiers({r["code"]: r["count"] for r in rows})
 
 
