@@ -301,7 +301,10 @@ def _told(kind: str) -> Column:
 
 
 def personal_data(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row of docs. Spans and candidates are found once and kept."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (whether there is any span): one row per row of docs.
+
+    Spans and candidates are found once and kept.
+    """
     scratch = Scratch(docs.sparkSession, "pii")
     spans = [F.transform(f"_{k}", lambda s: F.struct(s["start"], s["end"])).alias(f"_{k}") for k in KINDS]
     kept = scratch.keep(with_candidates(_own(docs.select("doc_id", "text"))).select(F.col("_row.doc_id").alias("doc_id"), *spans, "_cand"), "spans")
@@ -309,7 +312,7 @@ def personal_data(docs: DataFrame, classifier: Classifier | None = None) -> Data
     base = F.concat(*[_told(k) for k in KINDS])
     further = F.transform(F.array_sort(F.transform("_more", lambda s: F.struct(s["kind"], s["start"], s["end"]))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found_all.select("doc_id", *counts, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", base, further).alias("spans"))
+    return found_all.select("doc_id", *counts, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", base, further).alias("spans"), (F.size(base) + F.size("_more") > 0).alias("found"))
 
 
 def redact(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
