@@ -44,15 +44,19 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def boxes(segments: DataFrame, items: DataFrame, keys: list[str], width: Column, table_pad: Column, eps: float, taken: DataFrame | None = None) -> DataFrame:
+def boxes(segments: DataFrame, items: DataFrame, keys: list[str], width: Column, table_pad: Column, eps: float, taken: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Framed boxes around text: keys, seq (of the top edge), x, y, w, h, idxs, role.
 
     Candidates are closed rectangles 20 high at least that are not the page's frame. By (top edge, bottom edge), the first one of
     a top edge whose yet unclaimed items include one of a quarter of its width claims them; that is a fold over the page's candidates.
+    width is a column of pages (keys, ...) if these are given.
     """
-    rects = closed_rects(segments, keys, eps, 20.0).withColumn("w", F.col("x2") - F.col("x1")).withColumn("h", F.col("y2") - F.col("y1")).withColumn("_width", width)
+    rects = closed_rects(segments, keys, eps, 20.0)
+    if pages is not None:
+        rects = rects.join(pages, keys)
+    rects = rects.withColumn("w", F.col("x2") - F.col("x1")).withColumn("h", F.col("y2") - F.col("y1")).withColumn("_width", width)
     frame = ((F.col("x1") < F.col("_width") * 0.04) & (F.col("w") > F.col("_width") * 0.65)) | (F.col("w") > F.col("_width") * 0.88)
-    rects = rects.where(~frame).drop("_width").withColumnsRenamed({"x1": "x", "y1": "y"})
+    rects = rects.where(~frame).select(*keys, "seq", "seq_2", F.col("x1").alias("x"), F.col("y1").alias("y"), "w", "h")
     text = items.where(has_text(F.col("str"))).withColumn("_pad", table_pad)
     if taken is not None:
         text = text.join(taken, [*keys, "idx"], "left_anti")

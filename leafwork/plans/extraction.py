@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import escape, inside
+from ..functions.exprs import box_role, escape, inside
 from ..functions.lineage import cut
-from ..operators import clusters, columns, export, lattice, regions, scale, streamtables
+from ..operators import assembly, clusters, columns, export, lattice, regions, scale, streamtables
 from ..sources import relations as R
 from .grid import ruled
 
@@ -59,9 +59,15 @@ def classify(items: DataFrame, segs: DataFrame, images: DataFrame | None, pages:
     if images is not None:
         out.append(_shaped(clusters.image_clusters(images, keys).withColumn("id", F.concat(F.lit("i"), "seq")), keys, "IMAGE"))
     if "LATTICE_TABLE" not in skip:
-        grids = lattice.lattices(ruling, keys).where(F.size("cols") > 2)
-        grids = grids.select(*keys, F.lit("l0").alias("id"), F.element_at("cols", 1).alias("x"), F.element_at("rows", 1).alias("y"), (F.element_at("cols", -1) - F.element_at("cols", 1)).alias("w"), (F.element_at("rows", -1) - F.element_at("rows", 1)).alias("h"))
+        grids = lattice.lattices(ruling, keys)
+        grids = grids.select(*keys, F.lit("l0").alias("id"), F.size("cols").alias("n_lines"), F.element_at("cols", 1).alias("x"), F.element_at("rows", 1).alias("y"), (F.element_at("cols", -1) - F.element_at("cols", 1)).alias("w"), (F.element_at("rows", -1) - F.element_at("rows", 1)).alias("h"))
         grids = cut(grids)
+        # one column is a box
+        narrow = cut(assembly.narrow_grids(grids.where("n_lines <= 2").drop("id", "n_lines"), it, keys, F.col("table_pad")).withColumn("id", F.lit("n0")).withColumn("role", box_role(F.col("sample"))))
+        claims = narrow.select(*keys, "id", F.explode("idxs").alias("idx"))
+        out.append(_shaped(narrow.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "BOX"))
+        it = it.join(claims, [*keys, "idx"], "left_anti")
+        grids = grids.where("n_lines > 2")
         claims = cut(_claimed(it, grids, keys, "table_pad"))
         out.append(_shaped(grids.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "LATTICE_TABLE"))
         it = cut(it.join(claims, [*keys, "idx"], "left_anti"))
@@ -77,7 +83,7 @@ def classify(items: DataFrame, segs: DataFrame, images: DataFrame | None, pages:
         out.append(_shaped(found.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "STREAM_TABLE"))
         it = cut(it.join(claims, [*keys, "idx"], "left_anti"))
     if "BOX" not in skip:
-        framed = cut(regions.boxes(ruling, it, keys, F.lit(1e9), F.lit(9.6), 10.8).withColumn("id", F.concat(F.lit("b"), "seq")))
+        framed = cut(regions.boxes(ruling, it, keys, F.col("width"), F.col("table_pad"), 10.8, pages=page.select(*keys, "width")).withColumn("id", F.concat(F.lit("b"), "seq")))
         claims = framed.select(*keys, "id", F.explode("idxs").alias("idx"))
         out.append(_shaped(framed.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "BOX"))
         it = cut(it.join(claims, [*keys, "idx"], "left_anti"))

@@ -182,7 +182,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["segment_orientation_counts", "y_bands", "gutters", "dash_runs", "underlines", "blocks", "zones", "gfm_tables", "doctags_tokens", "line_diff", "page_upsert_latest"])
+@pytest.mark.parametrize("name", ["segment_orientation_counts", "y_bands", "gutters", "dash_runs", "underlines", "blocks", "zones", "gfm_tables", "doctags_tokens", "line_diff", "page_upsert_latest", "column_rules", "layout_classes", "struct_replaced"])
 def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -208,3 +208,43 @@ def test_grids_of_long_orders_are_whole(spark, tmp_path):
         assert {r["y1"] for r in segs if r["page"] == page and r["kind"] == "V"} == {32.0 + 24 * k for k in range(n)}
     given = extraction._inputs(spark, str(tmp_path))[1]
     assert given.count() == len(segs) and {r["page"] for r in given.select("page").distinct().collect()} == {7, 8}
+
+
+def test_layout_of_zones_against_a_plain_loop(spark):
+    from leafwork.operators import assembly
+
+    rng = random.Random(4)
+    zones = {z: [(rng.choice(("HEADING", "HEADING", "PARAGRAPH", "IMAGE")), rng.uniform(0, 90), rng.choice((10.0, 300.0))) for _ in range(rng.randint(1, 7))] for z in range(80)}
+    rows = [(z, i, t, y, x, -1) for z, found in zones.items() for i, (t, y, x) in enumerate(found)]
+    df = spark.createDataFrame(rows, "zone long, seq long, type string, y_center double, x double, column long")
+    from pyspark.sql import functions as F
+
+    got = {r["zone"]: r["layout"] for r in assembly.layout_class(df, ["zone"], "seq", F.col("zone") % 2 + 1, F.lit(500.0)).collect()}
+    for z, found in zones.items():
+        groups = []
+        for t, y, _ in found:
+            if t == "HEADING":
+                near = next((g for g in groups if abs(g[0] - y) < 15), None)
+                if near:
+                    near[:] = [(near[0] * near[1] + y) / (near[1] + 1), near[1] + 1]
+                else:
+                    groups.append([y, 1])
+        left, right = ([t for t, _, x in found if (x < 250) == side] for side in (True, False))
+        feature = z % 2 + 1 == 2 and left and all(t in ("HEADING", "IMAGE") for t in left) and "PARAGRAPH" in right
+        assert got[z] == ("layout-card-grid" if any(n >= 3 for _, n in groups) else "layout-feature" if feature else "layout-equal"), z
+    assert len(set(got.values())) == 3
+
+
+def test_a_grid_of_one_column_is_a_box_and_the_page_frame_is_none(spark):
+    from leafwork.plans import extraction
+
+    words = [(1, i, t, x, y, 6.0 * len(t), 12.0) for i, (t, x, y) in enumerate([("NOTE: read all of these lines first", 110.0, 115.0), ("and then go on with the rest", 110.0, 145.0), ("Plain text stands below the box here", 60.0, 400.0)])]
+    flat = [(100.0, y, 340.0, y) for y in (100.0, 130.0, 160.0)] + [(5.0, 20.0, 595.0, 20.0), (5.0, 780.0, 595.0, 780.0)]
+    upright = [(x, 100.0, x, 160.0) for x in (100.0, 340.0)] + [(5.0, 20.0, 5.0, 780.0), (595.0, 20.0, 595.0, 780.0)]
+    items = spark.createDataFrame(words, "page long, idx long, str string, vx double, vy double, v_width double, v_font double")
+    segs = lambda lines: spark.createDataFrame([(1, i, *s) for i, s in enumerate(lines)], "page long, seq long, x1 double, y1 double, x2 double, y2 double")
+    pages = spark.createDataFrame([(1, 600.0, 800.0)], "page long, width double, height double")
+    inner = extraction.classify(items, segs(flat[:3] + upright[:2]), None, pages, ["page"]).where("type = 'BOX'").collect()
+    assert [(r["id"], r["role"], r["x"], r["w"]) for r in inner] == [("n0", "note", 100.0, 240.0)] and "go on" in inner[0]["text"]
+    frame = extraction.classify(items, segs(flat[3:] + upright[2:]), None, pages, ["page"], skip=("LATTICE_TABLE",))
+    assert frame.where("type = 'BOX'").count() == 0
