@@ -13,17 +13,26 @@ from ..operators.versions import latest, patched
 
 
 class PageTable:
-    """The newest result of each page, as numbered snapshots under one folder. A batch writes the next snapshot and only then names it current, so a replayed batch changes nothing."""
+    """The newest result of each page, as numbered snapshots under one folder.
+
+    A batch writes the next snapshot and only then an empty file ``done/<number>``; the largest number is current. So a replayed
+    batch changes nothing, and a crash at any point leaves the last whole snapshot. All but the last two snapshots are deleted.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
         self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order
 
+    def _files(self, name: str):
+        """The file system and the path of a name under the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _done(self) -> list[int]:
+        files, path = self._files("done")
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(path)) if files.exists(path) else []
+
     def _current(self) -> int | None:
-        name = f"{self.path}/current"
-        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
-            return None
-        return self.spark.read.schema("batch long").json(name).first()["batch"]
+        return max(self._done(), default=None)
 
     def read(self) -> DataFrame | None:
         now = self._current()
@@ -39,7 +48,12 @@ class PageTable:
             base = self.spark.read.parquet(f"{self.path}/v{now}")
             changes = latest(base.unionByName(changes), self.keys, self.order)
         changes.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        self.spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("overwrite").json(f"{self.path}/current")
+        files, path = self._files(f"done/{number}")
+        files.create(path, True).close()
+        for old in self._done()[:-2]:
+            for name in (f"done/{old}", f"v{old}"):
+                files, path = self._files(name)
+                files.delete(path, True)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger: object) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -170,6 +170,11 @@ def test_readers_and_stream(spark, tmp_path):
     table.upsert(batch((2, 5, "d"), (1, 1, "late")), 1)
     table.upsert(batch((2, 9, "again")), 1)
     assert sorted((r["p"], r["html"]) for r in table.read().collect()) == [(1, "c"), (2, "d")]
+    (tmp_path / "pages" / "v2").mkdir()  # a batch that died while it wrote
+    assert sorted((r["p"], r["html"]) for r in table.read().collect()) == [(1, "c"), (2, "d")]
+    table.upsert(batch((2, 9, "e")), 2)
+    assert sorted((r["p"], r["html"]) for r in table.read().collect()) == [(1, "c"), (2, "e")]
+    assert sorted(p.name for p in (tmp_path / "pages").glob("v*")) == ["v1", "v2"]
     ev = spark.sql("select 'k' k, timestamp_millis(t) ts, c from values (0, 'a'), (100, 'b'), (900, 'c') v(t, c)")
     assert sorted((r["c"], r["edits"]) for r in bursts(ev, "k", "ts", "c").collect()) == [("b", 2), ("c", 1)]
 
