@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import trimmed
+from ..functions.lineage import cut
 
 TAG = r"</[a-z_]+\s*>|<[a-z_]+(?:\s+[^>]*?)?\s*/?>|<loc_\d+>"
 
@@ -240,17 +241,25 @@ def marked_text(ops: DataFrame, keys: list[str]) -> DataFrame:
 def struct_cells(nodes: DataFrame, keys: list[str], depth: int = 12) -> DataFrame:
     """Cells of tables in structure trees (node_id, parent_id, ord, role, mcid): keys, table_id, r, c, mcids.
 
-    The path from each cell up to its row and table, and from each leaf up to its cell, is walked by joins, as many as ``depth`` bounds; each joins by page and node.
+    The path from each cell up to its row and table, and from each leaf up to its cell, is walked by joins by page and node,
+    ``depth`` levels at a time until every path has ended, however deep the trees are. A tree with a cycle is an error.
     """
     up = nodes.select(*keys, F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"), F.col("role").alias("_role"), F.col("ord").alias("_ord"))
 
     def nearest(start: DataFrame, roles: tuple[str, ...], name: str) -> DataFrame:
         walk = start.withColumn("_at", F.col("parent_id")).withColumn(name, F.lit(None).cast("long")).withColumn(f"{name}_ord", F.lit(None).cast("long"))
-        for _ in range(depth):
-            walk = walk.join(up.withColumnRenamed("_id", "_at"), [*keys, "_at"], "left")
-            here = F.col(name).isNull() & F.col("_role").isin(*roles)
-            walk = walk.withColumn(f"{name}_ord", F.when(here, F.col("_ord")).otherwise(F.col(f"{name}_ord"))).withColumn(name, F.when(here, F.col("_at")).otherwise(F.col(name))).withColumn("_at", F.when(F.col(name).isNull(), F.col("_up"))).drop("_up", "_role", "_ord")
-        return walk.drop("_at")
+        walked, highest = 0, None
+        while True:
+            for _ in range(depth):
+                walk = walk.join(up.withColumnRenamed("_id", "_at"), [*keys, "_at"], "left")
+                here = F.col(name).isNull() & F.col("_role").isin(*roles)
+                walk = walk.withColumn(f"{name}_ord", F.when(here, F.col("_ord")).otherwise(F.col(f"{name}_ord"))).withColumn(name, F.when(here, F.col("_at")).otherwise(F.col(name))).withColumn("_at", F.when(F.col(name).isNull(), F.col("_up"))).drop("_up", "_role", "_ord")
+            walk, walked = cut(walk), walked + depth
+            if walk.where("_at is not null").isEmpty():
+                return walk.drop("_at")
+            highest = highest or nodes.groupBy(*keys).count().agg(F.max("count")).first()[0]
+            if walked > highest:
+                raise ValueError("a structure tree has a cycle")
 
     cells = nodes.where("role in ('TD', 'TH')").select(*keys, F.col("node_id").alias("cell_id"), "parent_id", "ord")
     cells = nearest(nearest(cells, ("TR", "THead", "TBody", "TFoot"), "row_id"), ("Table",), "table_id").drop("table_id_ord", "parent_id")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, documents, extraction, grid, layout, regionedits, spatial, tables
+from . import arrange, assembly, documents, extraction, grid, layout, regionedits, spatial, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (grid, tables, layout, documents, spatial, regionedits, assembly, extraction):
+for _module in (grid, tables, layout, documents, spatial, regionedits, assembly, arrange, extraction):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -187,7 +187,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["segment_orientation_counts", "y_bands", "gutters", "dash_runs", "underlines", "blocks", "zones", "gfm_tables", "doctags_tokens", "line_diff", "page_upsert_latest", "column_rules", "layout_classes", "struct_replaced"])
+@pytest.mark.parametrize("name", ["segment_orientation_counts", "y_bands", "gutters", "dash_runs", "underlines", "blocks", "zones", "gfm_tables", "doctags_tokens", "line_diff", "page_upsert_latest", "column_rules", "layout_classes", "struct_replaced", "full_width_items", "table_edges", "dragged_columns", "nudged_regions", "reordered_regions"])
 def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -253,3 +253,14 @@ def test_a_grid_of_one_column_is_a_box_and_the_page_frame_is_none(spark):
     assert [(r["id"], r["role"], r["x"], r["w"]) for r in inner] == [("n0", "note", 100.0, 240.0)] and "go on" in inner[0]["text"]
     frame = extraction.classify(items, segs(flat[3:] + upright[2:]), None, pages, ["page"], skip=("LATTICE_TABLE",))
     assert frame.where("type = 'BOX'").count() == 0
+
+
+def test_cells_of_deep_trees_are_found(spark):
+    from leafwork.operators import markup
+
+    chain = [(1, None, "Table"), (2, 1, "TR"), *[(n, n - 1, "Div") for n in range(3, 40)], (40, 39, "TD"), (41, 40, "P")]
+    nodes = spark.createDataFrame([(1, n, up, 0, role, 5 if n == 41 else None) for n, up, role in chain], "page long, node_id long, parent_id long, ord long, role string, mcid long")
+    assert [tuple(r) for r in markup.struct_cells(nodes, ["page"]).collect()] == [(1, 1, 0, 0, [5])]
+    cycle = spark.createDataFrame([(1, 1, 2, 0, "TD", None), (1, 2, 1, 0, "Div", None)], nodes.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        markup.struct_cells(cycle, ["page"], depth=2)
