@@ -8,7 +8,7 @@ fold is by page, so all stages can share one distribution by page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import box_role, escape, inside
@@ -59,12 +59,13 @@ def classify(items: DataFrame, segs: DataFrame, images: DataFrame | None, pages:
     if images is not None:
         out.append(_shaped(clusters.image_clusters(images, keys).withColumn("id", F.concat(F.lit("i"), "seq")), keys, "IMAGE"))
     if "LATTICE_TABLE" not in skip:
-        grids = lattice.lattices(ruling, keys)
-        grids = grids.select(*keys, F.lit("l0").alias("id"), F.size("cols").alias("n_lines"), F.element_at("cols", 1).alias("x"), F.element_at("rows", 1).alias("y"), (F.element_at("cols", -1) - F.element_at("cols", 1)).alias("w"), (F.element_at("rows", -1) - F.element_at("rows", 1)).alias("h"))
+        gap = lambda axis: F.col("_s") * scale.RATIOS[f"r_cluster_{axis}_gap"]
+        grids = lattice.table_lattices(ruling.join(scales.select(*keys, F.col("s").alias("_s")), keys), keys, y_gap=gap("y"), x_gap=gap("x"))
+        grids = grids.select(*keys, F.concat_ws("_", F.lit("l"), "y_part", "x_part").alias("id"), F.size("cols").alias("n_lines"), F.element_at("cols", 1).alias("x"), F.element_at("rows", 1).alias("y"), (F.element_at("cols", -1) - F.element_at("cols", 1)).alias("w"), (F.element_at("rows", -1) - F.element_at("rows", 1)).alias("h"))
         grids = cut(grids)
         # one column is a box
-        narrow = cut(assembly.narrow_grids(grids.where("n_lines <= 2").drop("id", "n_lines"), it, keys, F.col("table_pad")).withColumn("id", F.lit("n0")).withColumn("role", box_role(F.col("sample"))))
-        claims = narrow.select(*keys, "id", F.explode("idxs").alias("idx"))
+        narrow = cut(assembly.narrow_grids(grids.where("n_lines <= 2").drop("id", "n_lines"), it, keys, F.col("table_pad")).withColumn("id", F.concat_ws("_", F.lit("n"), F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x", "w", "h")))).withColumn("role", box_role(F.col("sample"))))
+        claims = narrow.select(*keys, "id", F.explode("idxs").alias("idx")).groupBy(*keys, "idx").agg(F.min("id").alias("id"))
         out.append(_shaped(narrow.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "BOX"))
         it = it.join(claims, [*keys, "idx"], "left_anti")
         grids = grids.where("n_lines > 2")

@@ -264,3 +264,17 @@ def test_cells_of_deep_trees_are_found(spark):
     cycle = spark.createDataFrame([(1, 1, 2, 0, "TD", None), (1, 2, 1, 0, "Div", None)], nodes.schema)
     with pytest.raises(ValueError, match="cycle"):
         markup.struct_cells(cycle, ["page"], depth=2)
+
+
+def test_each_table_of_a_page_is_a_grid(spark):
+    from leafwork.operators import lattice
+
+    def grid(x, y, n):
+        h = [(x, y + 20.0 * i, x + 100.0, y + 20.0 * i) for i in range(n)]
+        return h + [(x + 25.0 * i, y, x + 25.0 * i, y + 20.0 * (n - 1)) for i in range(5)]
+
+    pages = {1: grid(50.0, 50.0, 8) + grid(50.0, 400.0, 6) + grid(300.0, 400.0, 7), 2: grid(50.0, 50.0, 3), 3: [(0.0, 0.0, 50.0, 0.0)]}
+    segs = [(p, i, *s) for p, found in pages.items() for i, s in enumerate(found)]
+    segs = spark.createDataFrame(segs, "page long, seq long, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r["page"], r["rows"][0], r["cols"][0], len(r["rows"]), len(r["cols"])) for r in lattice.table_lattices(segs, ["page"]).collect())
+    assert got == [(1, 50.0, 50.0, 8, 5), (1, 400.0, 50.0, 6, 5), (1, 400.0, 300.0, 7, 5), (2, 50.0, 50.0, 3, 5)]
