@@ -64,7 +64,7 @@ def classify(items: DataFrame, segs: DataFrame, images: DataFrame | None, pages:
         grids = grids.select(*keys, F.concat_ws("_", F.lit("l"), "y_part", "x_part").alias("id"), F.size("cols").alias("n_lines"), F.element_at("cols", 1).alias("x"), F.element_at("rows", 1).alias("y"), (F.element_at("cols", -1) - F.element_at("cols", 1)).alias("w"), (F.element_at("rows", -1) - F.element_at("rows", 1)).alias("h"))
         grids = cut(grids)
         # one column is a box
-        narrow = cut(assembly.narrow_grids(grids.where("n_lines <= 2").drop("id", "n_lines"), it, keys, F.col("table_pad")).withColumn("id", F.concat_ws("_", F.lit("n"), F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x", "w", "h")))).withColumn("role", box_role(F.col("sample"))))
+        narrow = cut(assembly.narrow_grids(grids.where("n_lines <= 2").drop("id", "n_lines"), it, keys, F.col("table_pad")).withColumn("id", F.concat(F.lit("n"), F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x", "w", "h")) - 1)).withColumn("role", box_role(F.col("sample"))))
         claims = narrow.select(*keys, "id", F.explode("idxs").alias("idx")).groupBy(*keys, "idx").agg(F.min("id").alias("id"))
         out.append(_shaped(narrow.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "BOX"))
         it = it.join(claims, [*keys, "idx"], "left_anti")
