@@ -9,9 +9,9 @@ nothing is drawn at random.
 
 Trusted text: every document labelled quality 1. Raw counts cover every document. No document takes part in its own
 score: documents fall into two folds by a hash of doc_id, each fold has its own two multinomials, and a document is scored by
-those of the other fold. The threshold is placed on such scores too: at most ``TRUSTED`` documents labelled 1 and ``REJECTED``
-labelled 0, those with the least hash of the id, serve for that and for nothing else. It is the score that parts the two
-samples best (the mean of the two rates kept right), but never one that would drop over ``LOSS`` of the trusted ones.
+those of the other fold. The threshold is placed on such scores too, of every labelled document: executors count them by
+steps of ``1 / STEPS``, so the driver gets a row for each step that occurs. It is the step that parts documents labelled 1 from
+those labelled 0 best (the mean of the two rates kept right), but never one that would drop over ``LOSS`` of the trusted ones.
 
 Trusted ids go to the executors as one sorted array if there are at most ``IDS_SENT`` of them; else rows are
 marked by a shuffle join. Both count the same.
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .store import Scratch
 
 BUCKETS = 1 << 16
-TRUSTED, REJECTED = 10_000, 4_000  # of the threshold's sample
+STEPS = 1 << 14  # of the threshold, to a unit of score
 LOSS = 0.002
 IDS_SENT = 4_000_000
 SMOOTHING = 1.0
@@ -104,10 +105,10 @@ def _given(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(2)), F.lit(0)).cast("int").alias("fold"))
 
 
-def sample_ids(labels: DataFrame, quality: int, most: int) -> list[int]:
-    """At most so many labelled ids, those with the least hash."""
-    rows = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
-    return [r["doc_id"] for r in rows.orderBy("h", "doc_id").limit(most).select("doc_id").collect()]
+def judging_ids(labels: DataFrame, quality: int, most: int | None = None) -> DataFrame:
+    """The ids with this label, once each; with most, so many at most: those with the least hash."""
+    ids = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return ids if most is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def counts(docs: DataFrame, trusted: DataFrame, sent: int = IDS_SENT) -> np.ndarray:
@@ -178,31 +179,28 @@ def assess(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return _given(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", score double")
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
-    """The score that parts good from bad best, but at which no more than the given share of good is lost."""
-    if not len(good):
+def threshold(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
+    """The step (of ascending ones, with the numbers of good and bad documents on them) that parts good from bad best, but at which no more than the given share of good is lost."""
+    if not good.sum():
         return float("-inf")
-    good, bad = np.sort(good), np.sort(bad)
-    most = good[int(loss * len(good))]
-    if not len(bad):
+    lost, dropped = (np.cumsum(n) - n for n in (good, bad))  # below each step
+    most = steps[lost <= loss * good.sum()][-1]
+    if not bad.sum():
         return float(most)
-    cuts = np.unique(np.concatenate((good, bad)))
-    kept = 1 - np.searchsorted(good, cuts) / len(good)
-    dropped = np.searchsorted(bad, cuts) / len(bad)
-    return float(min(most, cuts[np.argmax(kept + dropped)]))
+    return float(min(most, steps[np.argmax(dropped / bad.sum() - lost / good.sum())]))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, rejected: int = REJECTED) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs."""
-    good, bad = sample_ids(labels, 1, trusted), sample_ids(labels, 0, rejected)
+def quality_rules(docs: DataFrame, labels: DataFrame, trusted: int | None = None, rejected: int | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs.
+
+    The threshold counts every labelled document; trusted and rejected bound how many of either label, if given.
+    """
     ratios = log_ratios(counts(docs, labels.where("quality = 1")))
-    spark = docs.sparkSession
-    sample = spark.createDataFrame([(i, True) for i in good] + [(i, False) for i in bad], "doc_id long, good boolean")
-    scored = assess(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi"), ratios).where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words")
-    rows = scored.join(F.broadcast(sample), "doc_id").select("good", "score").toArrow()
-    which = rows["good"].to_numpy(zero_copy_only=False).astype(bool) if rows.num_rows else np.zeros(0, bool)
-    scores = rows["score"].to_numpy()
-    cut = threshold(scores[which], scores[~which])
-    out = assess(docs, ratios)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("score") >= cut)).alias("kept"), "score")
+    # texts are scored once; counts and scores, written, serve the threshold and the result
+    out = Scratch(docs.sparkSession, "quality").keep(assess(docs, ratios).withColumn("base_failed", failed), "scored")
+    known = judging_ids(labels, 1, trusted).withColumn("good", F.lit(True)).unionByName(judging_ids(labels, 0, rejected).withColumn("good", F.lit(False)))
+    step = F.floor(F.col("score") * STEPS)
+    rows = out.where("not base_failed").join(known, "doc_id").groupBy(step.alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("step").toArrow()
+    cut = threshold(*(rows[c].to_numpy() for c in ("step", "good", "bad")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (step >= cut)).alias("kept"), "score")

@@ -535,3 +535,49 @@ def test_toxicity_bias_follows_all_labelled_rows(spark):
     labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
     full, cut = toxicity.fit(docs, labels), toxicity.fit(docs, labels, toxic=60, clean=60)
     assert full.bias < cut.bias < -1.2  # without the shift it would be near 0.6
+
+
+def test_quality_threshold_counts_every_labelled_document(spark, monkeypatch):
+    rng, seen = random.Random(31), []
+    known = quality.threshold
+    monkeypatch.setattr(quality, "threshold", lambda *a: (seen.append((int(a[1].sum()), int(a[2].sum()))), known(*a))[1])
+    texts = [" ".join(rng.choice(SYLLABLES) + rng.choice(SYLLABLES) + ("xq" if i % 3 and rng.random() < 0.3 else "") for _ in range(24)) for i in range(6400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(6400)] + [(1, 0)], "doc_id long, quality int")
+    got = quality.quality_rules(docs, labels).collect()
+    judged = [r for r in got if not r["base_failed"]]
+    assert seen == [(sum(r["doc_id"] % 3 == 0 for r in judged), sum(r["doc_id"] % 3 > 0 for r in judged))] and seen[0][1] > 4000
+    step = {r["doc_id"]: np.floor(r["score"] * quality.STEPS) for r in judged}
+    good, bad = (np.array([s for i, s in step.items() if (i % 3 == 0) == g]) for g in (True, False))
+    cuts = [c for c in sorted(set(step.values())) if (good < c).mean() <= quality.LOSS]
+    best = max(sorted(set(step.values())), key=lambda c: ((bad < c).mean() - (good < c).mean(), -c))
+    assert {r["doc_id"] for r in got if r["kept"]} == {i for i, s in step.items() if s >= min(best, cuts[-1])}
+
+
+def test_op3_returns_its_pieces(spark, tmp_path):
+    from leafwork.llm import queries
+
+    texts = ["plain words and ünïcode ▁", "", None, "  two  blanks"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    codec = pieces.Codec.load()
+    for r in queries.op3_pieces(spark, str(tmp_path)).collect():
+        ids = r["piece_ids"]
+        if texts[r["doc_id"]] is None:
+            assert ids is None and r["n_pieces"] is None
+        else:
+            assert codec.decode(ids) == texts[r["doc_id"]] and len(ids) == r["n_pieces"] and zlib.crc32(np.array(ids, "<i4").tobytes()) == r["ids_crc32"]
+
+
+def test_near_duplicates_keep_a_byte_of_each_minimum(spark, monkeypatch):
+    from leafwork.llm.store import Scratch
+
+    kept, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": kept.setdefault(name, keep(self, df, name)) if name == "features" else keep(self, df, name))
+    base = prose(200, random.Random(5)).split()
+    near = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 200, 20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*near, "far from it " * 9, None])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {**dict.fromkeys(range(10), 0), 10: 10, 11: 11}
+    assert kept["features"].schema["signature"].dataType.elementType.typeName() == "byte"
+    whole = minhash.features(docs.limit(1)).first()["signature"]
+    assert kept["features"].where("doc_id = 0").first()["signature"] == [(x & 255) - 128 for x in whole]
