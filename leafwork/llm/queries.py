@@ -63,7 +63,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import Codec, encode
 
-    return encode(_table(spark, sf_dir, "documents"), Codec.load(), ids=False)
+    return encode(_table(spark, sf_dir, "documents"), Codec.load())
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
