@@ -321,3 +321,22 @@ def test_lattices_are_one_pass_and_equal_the_joined_form(spark, monkeypatch):
     for p, (rows, cols, points, *lines) in got.items():
         assert rows == pytest.approx(want[p][0]) and cols == pytest.approx(want[p][1]) and points == want[p][2]
         assert lines == [[pytest.approx(x) for x in side] for side in want[p][3:]]
+
+
+def test_columns_of_operators_as_lists_and_matrix_products():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from leafwork.operators import paths
+
+    columns = [["save", None, "fill", "save"], [None, None], [1.5, None, 2.0], [0.5, 1.0]]
+    assert [paths._values(pa.array(c, pa.float64() if c and isinstance(c[-1], float) else pa.string())) for c in columns] == columns
+    nested = pa.array([[9.0], [1.0, 2.0], None, [], [3.0]], pa.list_(pa.float64()))
+    assert paths._lists(nested.slice(1)) == [[1.0, 2.0], None, [], [3.0]] and paths._lists(nested.slice(2, 1)) == [None]
+    rng = random.Random(3)
+    full = lambda m: np.array([[m[0], m[2], m[4]], [m[1], m[3], m[5]], [0, 0, 1]])
+    for _ in range(20):
+        a, b = ([rng.uniform(-2, 2) for _ in range(6)] for _ in "ab")
+        assert np.allclose(full(paths._product(a, b)), full(a) @ full(b))
