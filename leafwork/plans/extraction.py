@@ -1,19 +1,19 @@
 """Whole pages: items, segments and images to typed regions, and regions to page results.
 
 Detectors run in order of priority. Each gives regions and the items that they claim; what is
-claimed is taken out of the items by an anti-join before the next detector. What a stage leaves is
-written once, as several later branches read it. Every join, window and
-fold is by page, so all stages can share one distribution by page.
+claimed is taken out of the items before the next detector. A page's items and segments are packed
+once and go through all detectors in one task (pageregions), so the plan does not grow with the
+detectors and nothing is written between them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import box_role, escape, inside
+from ..functions.exprs import box_role, escape
 from ..functions.lineage import cut
-from ..operators import assembly, clusters, columns, export, lattice, regions, scale, streamtables
+from ..operators import clusters, export, pageregions, regions
 from ..sources import relations as R
 from .grid import ruled
 
@@ -22,94 +22,21 @@ QUERIES, ORACLES = {}, {}
 REGION = ("type", "x", "y", "w", "h", "font_size", "role", "confidence", "column", "text")
 
 
-def _claimed(items: DataFrame, found: DataFrame, keys: list[str], pad: str) -> DataFrame:
-    """Each item with the first region (by id) whose box, widened by pad, holds it: keys, idx, id."""
-    box = found.select(*keys, "id", *[F.col(c).alias(f"_{c}") for c in "xywh"])
-    hit = items.join(box, keys).where(inside(F.col("vx"), F.col("vy"), F.col("_x"), F.col("_y"), F.col("_w"), F.col("_h"), F.col(pad)))
-    return hit.groupBy(*keys, "idx").agg(F.min("id").alias("id"))
-
-
-def _texts(items: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
-    """The joined text and mean font of each region's items."""
-    ordered = F.array_sort(F.collect_list(F.struct("vy", "vx", "idx", "str")))
-    each = items.join(claims, [*keys, "idx"]).groupBy(*keys, "id").agg(F.array_join(F.transform(ordered, lambda i: i["str"]), " ").alias("text"), F.avg("v_font").alias("font_size"))
-    return each
-
-
-def _shaped(found: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    types = {"font_size": "double", "role": "string", "confidence": "double", "column": "long", "text": "string"}
-    out = found.withColumn("type", F.lit(kind)) if "type" not in found.columns else found
-    for c, t in types.items():
-        out = out.withColumn(c, F.col(c).cast(t) if c in out.columns else F.lit(None).cast(t))
-    return out.select(*keys, F.col("id").cast("string").alias("id"), *[F.col(c).cast("double").alias(c) if c in "xywh" else F.col(c) for c in REGION])
-
-
 def classify(items: DataFrame, segs: DataFrame, images: DataFrame | None, pages: DataFrame, keys: list[str], overrides: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """Regions of pages. items: idx, str, vx, vy, v_width, v_font; segs: seq, x1, y1, x2, y2; pages: width, height.
 
     skip names region types that are not looked for; headings and lists that are skipped become paragraphs.
     """
-    items, segs = cut(items), cut(segs)
-    scales = cut(scale.page_scale(items, keys, overrides=overrides).join(pages.select(*keys, "width", "height"), keys))
-    it = items.join(scales, keys)
-    page = scales.select(*keys, "width", "height", "s")
-    under = cut(regions.underlines(segs, it, keys))
-    ruling = cut(segs.join(under, [*keys, "seq"], "left_anti"))
-    out: list[DataFrame] = []
-    if images is not None:
-        out.append(_shaped(clusters.image_clusters(images, keys).withColumn("id", F.concat(F.lit("i"), "seq")), keys, "IMAGE"))
-    if "LATTICE_TABLE" not in skip:
-        gap = lambda axis: F.col("_s") * scale.RATIOS[f"r_cluster_{axis}_gap"]
-        grids = lattice.table_lattices(ruling.join(scales.select(*keys, F.col("s").alias("_s")), keys), keys, y_gap=gap("y"), x_gap=gap("x"))
-        grids = grids.select(*keys, F.concat_ws("_", F.lit("l"), "y_part", "x_part").alias("id"), F.size("cols").alias("n_lines"), F.element_at("cols", 1).alias("x"), F.element_at("rows", 1).alias("y"), (F.element_at("cols", -1) - F.element_at("cols", 1)).alias("w"), (F.element_at("rows", -1) - F.element_at("rows", 1)).alias("h"))
-        grids = cut(grids)
-        # one column is a box
-        narrow = cut(assembly.narrow_grids(grids.where("n_lines <= 2").drop("id", "n_lines"), it, keys, F.col("table_pad")).withColumn("id", F.concat(F.lit("n"), F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x", "w", "h")) - 1)).withColumn("role", box_role(F.col("sample"))))
-        claims = narrow.select(*keys, "id", F.explode("idxs").alias("idx")).groupBy(*keys, "idx").agg(F.min("id").alias("id"))
-        out.append(_shaped(narrow.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "BOX"))
-        it = it.join(claims, [*keys, "idx"], "left_anti")
-        grids = grids.where("n_lines > 2")
-        claims = cut(_claimed(it, grids, keys, "table_pad"))
-        out.append(_shaped(grids.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "LATTICE_TABLE"))
-        it = cut(it.join(claims, [*keys, "idx"], "left_anti"))
-    if "STREAM_TABLE" not in skip:
-        found = streamtables.candidates(it, keys).where("accepted")
-        half = F.col("s") * 0.6
-        found = found.select(*keys, F.concat(F.lit("s"), "section").alias("id"), (F.element_at("anchor_x", 1) - F.col("col_tol") * 0.5).alias("x"), (F.element_at("band_y", 1) - half).alias("y"), F.col("confidence"), F.greatest(F.element_at("anchor_x", -1) + F.col("col_tol") * 0.5, F.col("x_max") + F.col("s") * 0.3).alias("_r"), (F.element_at("band_y", -1) + half).alias("_b"))
-        found = found.withColumn("w", F.col("_r") - F.col("x")).withColumn("h", F.col("_b") - F.col("y")).drop("_r", "_b")
-        if out:
-            found = regions.without_covered(found, out[-1], keys, 0.8)
-        found = cut(found)
-        claims = cut(_claimed(it, found, keys, "table_pad"))
-        out.append(_shaped(found.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "STREAM_TABLE"))
-        it = cut(it.join(claims, [*keys, "idx"], "left_anti"))
-    if "BOX" not in skip:
-        framed = cut(regions.boxes(ruling, it, keys, F.col("width"), F.col("table_pad"), 10.8, pages=page.select(*keys, "width")).withColumn("id", F.concat(F.lit("b"), "seq")))
-        claims = framed.select(*keys, "id", F.explode("idxs").alias("idx"))
-        out.append(_shaped(framed.join(_texts(it, claims, keys), [*keys, "id"], "left"), keys, "BOX"))
-        it = cut(it.join(claims, [*keys, "idx"], "left_anti"))
-    banded = clusters.y_bands(it, keys, F.col("y_band_tol"))
-    splits = columns.page_columns(banded, keys)
-    placed = cut(columns.column_buckets(it, splits, keys))
-    part = [*keys, "column"]
-    lined = regions.lines(clusters.y_bands(placed, part, F.col("y_band_tol")), part)
-    lined = cut(lined.join(page.select(*keys, "s"), keys))
-    kind = regions.line_class(F.col("text"), F.col("font"), F.col("n_items"), F.col("s"))
-    kind = F.when(kind.isin(*[s for s in skip if s in ("HEADING", "LIST")]), "PARAGRAPH").otherwise(kind) if skip else kind
-    blocks = regions.blocks(lined.withColumn("type", kind), part, F.col("s") * scale.RATIOS["r_para_gap"]).where(~F.col("type").isin(*skip) if skip else F.lit(True))
-    text = lined.select(*part, F.col("y").alias("_ly"), F.col("text"))
-    words = blocks.join(text, part).where((F.col("_ly") >= F.col("y")) & (F.col("_ly") <= F.col("y") + F.col("h"))).groupBy(*part, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ly", "text"))), lambda t: t["text"]), " ").alias("text"))
-    blocks = blocks.join(words, [*part, "block"], "left").withColumn("id", F.concat(F.lit("t"), "column", F.lit("_"), "block"))
-    heads = blocks.join(page, keys).withColumn("y_center", F.col("y") + F.col("h") / 2)
-    out.append(_shaped(regions.running_heads(heads, F.col("height"), F.col("s")), keys, "PARAGRAPH"))
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    whole = cut(whole)
-    if "DIVIDER" not in skip:
-        rules = regions.dividers(segs.join(page, keys), items, whole, keys, F.col("width"), F.col("s"), under)
-        whole = whole.unionByName(_shaped(rules.withColumn("id", F.concat(F.lit("d"), "seq")), keys, "DIVIDER"))
-    return whole
+    drawn = cut(clusters.image_clusters(images, keys)) if images is not None else None
+    rows = pageregions.found(items, segs, drawn, pages, keys, overrides, skip)
+    sample = F.when(F.col("id").startswith("n"), F.upper("sample")).otherwise(F.substring(F.upper("sample"), 1, 60))
+    rows = rows.withColumn("role", F.when(F.col("type") == "BOX", box_role(sample))).withColumn("y_center", F.col("y") + F.col("h") / 2)
+    whole = regions.running_heads(rows, F.col("height"), F.col("s")).select(*keys, "id", *REGION)
+    if drawn is None:
+        return whole
+    blank = {"font_size": "double", "role": "string", "confidence": "double", "column": "long", "text": "string"}
+    boxes = drawn.withColumns({"id": F.concat(F.lit("i"), "seq"), "type": F.lit("IMAGE"), **{c: F.col(c).cast("double") for c in "xywh"}, **{c: F.lit(None).cast(t) for c, t in blank.items()}})
+    return whole.unionByName(boxes.select(*keys, "id", *REGION))
 
 
 def page_results(found: DataFrame, keys: list[str]) -> DataFrame:

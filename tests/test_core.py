@@ -340,3 +340,57 @@ def test_columns_of_operators_as_lists_and_matrix_products():
     for _ in range(20):
         a, b = ([rng.uniform(-2, 2) for _ in range(6)] for _ in "ab")
         assert np.allclose(full(paths._product(a, b)), full(a) @ full(b))
+
+
+def test_detectors_of_one_pass_agree_with_the_operators(spark):
+    from pyspark.sql import functions as F
+
+    from leafwork.operators import lattice, pageregions, regions, scale, streamtables
+
+    rng, items, segs = random.Random(5), [], []
+    for page in range(60):
+        rows, cols, x0, y0, wide = rng.randint(1, 6), rng.randint(1, 4), rng.choice([40.0, 120.0]), rng.choice([40.0, 90.0]), rng.choice([60.0, 110.0])
+        lines = [(x0, y0 + 26.0 * r, x0 + cols * wide, y0 + 26.0 * r) for r in range(rows + 1) if rng.random() < 0.95]
+        lines += [(x0 + wide * c, y0 + 26.0 * r, x0 + wide * c, y0 + 26.0 * (r + 1)) for c in range(cols + 1) for r in range(rows) if rng.random() < 0.9]
+        lines += [(50.0, 500.0, 350.0, 500.0), (50.0, 540.0, 350.0, 540.0), (50.0, 500.0, 50.0, 540.0), (350.0, 500.0, 350.0, 540.0)] * (page % 2)
+        segs += [(page, i, *s) for i, s in enumerate(lines)]
+        words = [("12", 60.0 + 90 * c + rng.choice((0, 3)), 300.0 + 17 * r) for r in range(rng.randint(2, 6)) for c in range(rng.randint(3, 4))] + [("a text within a frame", 60.0, 520.0)]
+        items += [(page, i, t, x, y, 6.0 * len(t), 12.0) for i, (t, x, y) in enumerate(words)]
+    it = spark.createDataFrame(items, "page long, idx long, str string, vx double, vy double, v_width double, v_font double")
+    sg = spark.createDataFrame(segs, "page long, seq long, x1 double, y1 double, x2 double, y2 double")
+    scaled = it.join(scale.page_scale(it, ["page"]), "page")
+    grids = {(r["page"], f"l_{r['y_part']}_{r['x_part']}", len(r["cols"]), r["cols"][0], r["rows"][-1]) for r in lattice.table_lattices(sg, ["page"], y_gap=24.0, x_gap=18.0).collect()}
+    tables = {(r["page"], f"s{r['section']}", round(r["confidence"], 9)) for r in streamtables.candidates(scaled, ["page"]).where("accepted").collect()}
+    boxes = {(r["page"], r["seq"], r["y"], r["h"], tuple(r["idxs"])) for r in regions.boxes(sg, scaled, ["page"], F.lit(660.0), F.col("table_pad"), 10.8).collect()}
+    assert len(grids) > 20 and len(tables) > 20 and len(boxes) > 20
+    found = {"grids": set(), "tables": set(), "boxes": set()}
+    for page in range(60):
+        mine = sorted((*i[1:], i[2]) for i in items if i[0] == page)
+        lines = [s[1:] for s in segs if s[0] == page]
+        found["grids"] |= {(page, g[0], g[1], g[2], g[3] + g[5]) for g in pageregions._grids(lines, 12.0)}
+        found["tables"] |= {(page, t[0], round(t[5], 9)) for t in pageregions._tables(mine, 12.0, 12.0 * 0.45, 12.0 * 0.8, 0.6)}
+        found["boxes"] |= {(page, q, y, h, tuple(i[0] for i in held)) for q, x, y, w, h, held in pageregions._frames(lines, mine, 660.0, 9.6)}
+    assert {(*g[:4], round(g[4], 6)) for g in found["grids"]} == {(*g[:4], round(g[4], 6)) for g in grids}
+    assert found["tables"] == tables and found["boxes"] == boxes
+
+
+def _orders(spark, folder, sizes):
+    rows = [(page, i, 7 * page + i, i, 1.0, "N", 10.0, datetime.date(2020, 1, 1)) for page, n in sizes.items() for i in range(n)]
+    kind = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_extendedprice double, l_shipdate date"
+    spark.createDataFrame(rows, kind).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_regions_of_whole_pages_are_one_plan_that_writes_nothing(spark, tmp_path):
+    from pathlib import Path
+
+    from leafwork.functions.lineage import shared_folder
+    from leafwork.plans import extraction
+
+    _orders(spark, tmp_path, {7: 30, 8: 3})
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("cut-*"))
+    got = extraction.extracted_regions(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert set(folder.glob("cut-*")) == before
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") <= 12
+    assert {(r["page"], r["type"], r["h"]) for r in got.collect()} == {(7, "LATTICE_TABLE", 720.0), (8, "LATTICE_TABLE", 72.0)}
