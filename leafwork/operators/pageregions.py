@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,13 @@ def _half_up(x: float) -> int:
     return math.floor(x + 0.5) if math.isfinite(x) else 0 if x != x else int(math.copysign(2**63 - 1, x))
 
 
-def _by(*places: int):
-    """A sort key of tuples by these places, nulls first."""
-    return lambda i: [(i[p] is not None, i[p]) for p in places]
+def _ordered(rows: Iterable[tuple], *places: int) -> list[tuple]:
+    """Tuples by these places, nulls first."""
+    rows = list(rows)
+    try:
+        return sorted(rows, key=itemgetter(*places))
+    except TypeError:  # a null among values
+        return sorted(rows, key=lambda i: [(i[p] is not None, i[p]) for p in places])
 
 
 def _groups(values: list[float | None], tol: float, members: bool = False) -> list[int]:
@@ -74,14 +79,18 @@ def _deviation(values: list[float]) -> float:
 
 def _scale(items: list[tuple]) -> float:
     """The most frequent font size in half-pixel bins, the bin seen first on ties."""
-    bins: dict[float, list[int]] = {}
+    sizes: dict[float, list[int]] = {}
     for i in items:  # by idx
         if i[6]:
-            b = _half_up((i[5] or 12.0) * 2) / 2
-            if b in bins:
-                bins[b][0] += 1
+            f = i[5] or 12.0
+            if f in sizes:
+                sizes[f][0] += 1
             else:
-                bins[b] = [1, -i[0]]
+                sizes[f] = [1, -i[0]]
+    bins: dict[float, tuple[int, int]] = {}
+    for f, (n, first) in sizes.items():
+        b = _half_up(f * 2) / 2
+        bins[b] = (bins[b][0] + n, max(bins[b][1], first)) if b in bins else (n, first)
     return max(bins, key=bins.get) if bins else 12.0
 
 
@@ -107,7 +116,7 @@ def _clusters(segs: list[tuple], axis: int, least_gap: float, share: float, leas
     if len(segs) < 4:
         return {}
     mids = [None if s[axis] is None or s[axis + 2] is None else (s[axis] + s[axis + 2]) / 2 for s in segs]
-    known = [c for c in mids if c is not None]
+    known = set(mids) - {None}
     cuts: list[float] = []
     if known and (spread := max(known) - min(known)) >= 50:
         limit = max(least_gap, spread * share)
@@ -131,13 +140,14 @@ def _grid(segs: list[tuple], eps: float = 5.0) -> tuple | None:
     """page_lattice() of segments."""
     h, v = [], []
     for _, x1, y1, x2, y2 in segs:
-        if None in (x1, y1, x2, y2):
+        try:
+            across, along = abs(x2 - x1), abs(y2 - y1)
+        except TypeError:  # a null
             continue
-        across, along = abs(x2 - x1), abs(y2 - y1)
         if along <= eps < across:
-            h.append((y1, min(x1, x2), max(x1, x2)))
+            h.append((y1, x1, x2) if x1 <= x2 else (y1, x2, x1))
         elif across <= eps < along:
-            v.append((x1, min(y1, y2), max(y1, y2)))
+            v.append((x1, y1, y2) if y1 <= y2 else (x1, y2, y1))
     return page_lattice(sorted(h), sorted(v), eps) if len(h) > 1 and len(v) > 1 else None
 
 
@@ -170,13 +180,13 @@ def _taken(items: list[tuple], claims: dict[int, str]) -> tuple[dict[str, tuple]
     for i in items:
         if i[0] in claims:
             held.setdefault(claims[i[0]], []).append(i)
-    texts = {k: (_mean([i[5] for i in mine]), " ".join(i[1] for i in sorted(mine, key=_by(3, 2, 0)) if i[1] is not None)) for k, mine in held.items()}
+    texts = {k: (_mean([i[5] for i in mine]), " ".join(i[1] for i in _ordered(mine, 3, 2, 0) if i[1] is not None)) for k, mine in held.items()}
     return texts, [i for i in items if i[0] not in claims] if claims else items
 
 
 def _tables(items: list[tuple], s: float, band_tol: float, col_tol: float, least: float) -> list[tuple]:
     """(id, x, y, w, h, confidence) of the accepted sections of streamtables.candidates()."""
-    text = sorted((i for i in items if i[6]), key=_by(3, 0))
+    text = _ordered((i for i in items if i[6]), 3, 0)
     if len(text) < 6:
         return []
     band = _groups([i[3] for i in text], band_tol)
@@ -204,7 +214,7 @@ def _tables(items: list[tuple], s: float, band_tol: float, col_tol: float, least
     for k, size in enumerate(sizes):
         if size < LIMITS["stream_min_bands"]:
             continue
-        mine = sorted(((i[2], b, i[0], i) for b, i in zip(band, text, strict=True) if section[b] == k), key=_by(0, 1, 2))
+        mine = _ordered(((i[2], b, i[0], i) for b, i in zip(band, text, strict=True) if section[b] == k), 0, 1, 2)
         parts: dict[int, list] = {}
         for g, m in zip(_groups([m[0] for m in mine], col_tol, True), mine, strict=True):
             parts.setdefault(g, []).append(m)
@@ -290,7 +300,7 @@ def _extent(mine: list[tuple]) -> tuple:
 
 def _blocks(items: list[tuple], s: float, band_tol: float, skip: tuple[str, ...]) -> list[tuple]:
     """(block, type, x, y, w, h, font, text) of one column's items."""
-    items = sorted(items, key=_by(3, 0))
+    items = _ordered(items, 3, 0)
     lines: list[list[tuple]] = []
     for g, i in zip(_groups([i[3] for i in items], band_tol), items, strict=True):
         if g == len(lines):
@@ -298,7 +308,7 @@ def _blocks(items: list[tuple], s: float, band_tol: float, skip: tuple[str, ...]
         lines[g].append(i)
     rows = []
     for mine in lines:
-        text = " ".join(i[6] for i in sorted(mine, key=_by(2, 0)) if i[6] is not None)
+        text = " ".join(i[6] for i in _ordered(mine, 2, 0) if i[6] is not None)
         plain, font = text.strip(_EDGES), _mean([i[5] for i in mine])
         large = font is not None and font > s * LIMITS["heading_scale"] and not (len(mine) == 1 and len(plain) <= 2)
         kind = None if plain == "" else "HEADING" if large else "LIST" if _LISTED.search(plain) else "PARAGRAPH"
@@ -327,10 +337,10 @@ def _blocks(items: list[tuple], s: float, band_tol: float, skip: tuple[str, ...]
 
 def page_regions(items: list[tuple], segs: list[tuple], images: list[tuple] | None, width: float | None, height: float | None, own: dict[str, float], skip: tuple[str, ...]) -> list[tuple]:
     """Regions (FOUND) of one page. items (ITEM), segs (SEGMENT), images: boxes (x, y, w, h), if any are looked for; own: ratios of the page in place of the fixed ones."""
-    items = sorted([(*i, None if i[1] is None else i[1].strip(_EDGES)) for i in items], key=_by(0))
+    items = _ordered([(*i, None if i[1] is None else i[1].strip(_EDGES)) for i in items], 0)
     s = _scale(items)
     band_tol, pad = s * own["r_y_band"], max(2.0, s * RATIOS["r_table_pad"])
-    whole = [i for i in segs if None not in i[1:]]
+    whole = segs if all(None not in i for i in segs) else [i for i in segs if None not in i[1:]]
     flat = _flat(whole)
     under = _underlines(flat, items)
     ruling = [i for i in segs if i[0] not in under] if under else segs
@@ -346,7 +356,7 @@ def page_regions(items: list[tuple], segs: list[tuple], images: list[tuple] | No
         for box in sorted({g[2:] for g in grids if g[1] <= 2}, key=lambda b: (b[1], b[0], b[2], b[3])):
             held = [i for i in it if i[6] and _inside(i, *box, pad)]
             if max((i[4] for i in held if i[4] is not None), default=-math.inf) >= box[2] * 0.30:
-                first = " ".join(i[1] for i in sorted(held, key=_by(3, 2, 0))[:8])
+                first = " ".join(i[1] for i in _ordered(held, 3, 2, 0)[:8])
                 narrow.append((f"n{len(narrow)}", box, held, first.strip(" ")[:60]))
         claims: dict[int, str] = {}
         for k, _, held, _ in narrow:
@@ -375,7 +385,7 @@ def page_regions(items: list[tuple], segs: list[tuple], images: list[tuple] | No
             font, text = texts.get(f"b{q}", (None, None))
             add("BOX", f"b{q}", *box, font, text=text, sample=" ".join(i[1] for i in held[:8]))
     if it:
-        ordered = sorted(it, key=_by(3, 0))
+        ordered = _ordered(it, 3, 0)
         splits = _splits(ordered, _groups([i[3] for i in ordered], band_tol), width, s, s * own["r_col_gap_min"])
         parts: dict[int, list[tuple]] = {}
         for i in it:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import box_role, escape
 from ..functions.lineage import cut
-from ..operators import clusters, export, pageregions, regions
+from ..operators import clusters, pageregions, regions
 from ..sources import relations as R
 from .grid import ruled
 
@@ -44,11 +44,10 @@ def page_results(found: DataFrame, keys: list[str]) -> DataFrame:
     tag = F.when(F.col("type") == "HEADING", "h3").when(F.col("type") == "LIST", "li").when(F.col("type") == "BOX", "aside").when(F.col("type").isin("HEADER", "FOOTER"), F.lower("type")).otherwise("p")
     body = escape(F.coalesce("text", F.lit("")))
     one = F.when(F.col("type") == "DIVIDER", "<hr>").when(F.col("type") == "IMAGE", F.concat(F.lit('<img alt="'), "id", F.lit('">'))).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">")))
-    rows = found.withColumn("y_center", F.col("y") + F.col("h") / 2)
-    html = export.ordered_text(rows, keys, ["y_center", "x", "id"], one, "\n", "html")
-    text = export.ordered_text(rows, keys, ["y_center", "x", "id"], F.coalesce("text", F.lit("")), "\n\n", "text")
-    tables = rows.groupBy(*keys).agg(F.count_if(F.col("type").isin("LATTICE_TABLE", "STREAM_TABLE")).alias("tables"))
-    return html.join(text, keys).join(tables, keys)
+    order = [(F.col("y") + F.col("h") / 2).alias("y_center"), "x", "id"]
+    rows = found.dropna(subset=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, one.alias("_h"), F.coalesce("text", F.lit("")).alias("_t")))).alias("_r"), F.count_if(F.col("type").isin("LATTICE_TABLE", "STREAM_TABLE")).alias("tables"))
+    joined = lambda name, joint: F.array_join(F.filter(F.transform("_r", lambda r: r[name]), lambda t: t != ""), joint)
+    return rows.select(*keys, joined("_h", "\n").alias("html"), joined("_t", "\n\n").alias("text"), "tables")
 
 
 def reextracted(results: DataFrame, page: DataFrame, items: DataFrame, segs: DataFrame, images: DataFrame | None, pages: DataFrame, keys: list[str], overrides: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:

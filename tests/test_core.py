@@ -394,3 +394,14 @@ def test_regions_of_whole_pages_are_one_plan_that_writes_nothing(spark, tmp_path
     assert set(folder.glob("cut-*")) == before
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") <= 12
     assert {(r["page"], r["type"], r["h"]) for r in got.collect()} == {(7, "LATTICE_TABLE", 720.0), (8, "LATTICE_TABLE", 72.0)}
+
+
+def test_pages_read_their_regions_once(spark, tmp_path):
+    from leafwork.plans import extraction
+
+    _orders(spark, tmp_path, {7: 30, 8: 3})
+    got = extraction.extracted_pages(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r["page"]: r for r in got.collect()}
+    assert {p: r["tables"] for p, r in rows.items()} == {7: 1, 8: 1}
+    assert rows[8]["text"] == "56 0 1 N 57 1 1 N 58 2 1 N" and rows[8]["html"] == f"<p>{rows[8]['text']}</p>"
