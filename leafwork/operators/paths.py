@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.lineage import cut
 from ..functions.exprs import apply_affine, compose_affine
-from . import segments
-
-IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-#: Operators by what they do.
-FILLS = {"fill", "eoFill", "fillStroke", "eoFillStroke", "closeFillStroke", "closeEOFillStroke"}
-STROKES = {"stroke", "closeStrokePath"}
-SIZES = {"moveTo": 2, "lineTo": 2, "rectangle": 4, "curveTo": 6, "curveTo2": 4, "curveTo3": 4, "closePath": 0}
+from . import drawing, segments
+from .drawing import FILLS, IDENTITY, SIZES, STROKES
 
 SUBPATH = "id long, segs array<array<double>>, curves array<array<double>>, closed boolean, filled boolean, stroke_width double, stroke_color array<double>, fill_color array<double>, construct_path_id long, ctm array<double>"
 
@@ -142,8 +136,8 @@ class PageState:
         self._open(None)
 
 
-#: Pages whose operators stand as Python objects at a time.
-PAGES_AT_ONCE = 64
+#: Operators that are taken up at a time, and rows of a returned batch.
+OPS_AT_ONCE, ROWS_OUT = 1_000_000, 65_536
 
 
 def _values(column: pa.Array) -> list:
@@ -166,52 +160,127 @@ def _lists(column: pa.Array) -> list:
     return [flat[i:j] if there else None for there, i, j in zip(known, at, at[1:], strict=False)]
 
 
-def _folded(ops: DataFrame, pages: DataFrame, keys: list[str], schema: str, rows, compat: bool) -> DataFrame:
-    """One page's operators, packed by one shuffle, through a PageState; rows(state) yields the output. States don't commute, so a page is one fold.
+def _chunks(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[dict[str, pa.Array], np.ndarray]]:
+    """Rows of whole pages as columns, in the order of op_seq, with each page's first row; a page goes on where the keys don't change."""
+    kept, n_ops, limit = [], 0, OPS_AT_ONCE
+
+    def table() -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for k in range(n_keys):
+            code = rows.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return rows, np.flatnonzero(new)
+
+    def columns(rows: pa.Table, starts: np.ndarray) -> tuple[dict[str, pa.Array], np.ndarray]:
+        seq, page = rows.column("op_seq").to_numpy(), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        if ((seq[1:] < seq[:-1]) & (page[1:] == page[:-1])).any():
+            rows = rows.take(pa.array(np.lexsort((seq, page))))
+        return {name: (c.chunk(0) if (c := rows.column(name)).num_chunks == 1 else c.combine_chunks()) for name in rows.column_names}, starts
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        fn = batch.column(batch.schema.get_field_index("fn"))
+        n_ops += len(fn.flatten()) if pa.types.is_list(fn.type) else len(fn)
+        if n_ops >= limit:
+            rows, starts = table()
+            if len(starts) > 1:
+                yield columns(rows.slice(0, starts[-1]).combine_chunks(), starts[:-1])
+                kept, n_ops, limit = rows.slice(starts[-1]).to_batches(), 0, OPS_AT_ONCE
+            else:
+                limit = 2 * n_ops
+    if kept:
+        yield columns(*table())
+
+
+def _one_page(ops: drawing.Ops, k: int, compat: bool) -> PageState:
+    """The operators of a page through a PageState."""
+    state = PageState(tuple(ops.vp[:, k].tolist()), compat)
+    for o in range(ops.first[k], ops.first[k] + ops.size[k]):
+        name = ops.names[ops.code[o]] if ops.code[o] >= 0 else None
+        if ops.batch is not None and ops.batch[o] >= 0:
+            state.draw(name, ops.args(o), int(ops.batch[o]))
+        else:
+            state.apply(name, ops.args(o), None, None, ops.image[o].as_py() if ops.image is not None else None)
+    state.finish()
+    return state
+
 
-    Few pages at a time become Python objects, so memory follows the largest page.
+def _folded(ops: DataFrame, pages: DataFrame | tuple, keys: list[str], schema: str, want: str, rows: Callable, compat: bool) -> DataFrame:
+    """Operators of pages through their graphics states; rows(drawing, states, ops) yields the output: pages, then columns. States don't commute, so a page is one fold.
+
+    Pages are folded side by side, some thousands at a time (``drawing``); the longest of them, and all without compat, by themselves.
+    The window over the keys brings pages together, at no cost where they stand so already; memory follows the largest page.
     """
     fields = {f.name: f.dataType.simpleString() for f in ops.schema}
-    packed = ops.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("op_seq", "fn", "args", "sub_ops", "sub_args", "image_id"))).alias("a")).join(pages.select(*keys, "vp"), keys).select(*keys, "a", "vp")
+    one = None if isinstance(pages, DataFrame) else tuple(map(float, pages))
+    if one is None:
+        ops = ops.join(pages.select(*keys, "vp"), keys)
+    names = ["op_seq", "fn", "args", *[c for c in ("sub_ops", "sub_args", "image_id") if fields.get(c, "void") != "void"], *(["vp"] if one is None else [])]
+    gathered = ops.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).select(*keys, *names, "_n")
     out_schema = T._parse_datatype_string(", ".join(f"{k} {fields[k]}" for k in keys) + ", " + schema)
     types, n = [f.type for f in to_arrow_schema(out_schema)][len(keys) :], len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, PAGES_AT_ONCE):
-                batch = whole.slice(lo, PAGES_AT_ONCE)
-                _, fn, args, sub_ops, sub_args, image = batch.column(n).flatten().flatten()
-                listed = zip(_values(fn), _lists(args), _lists(sub_ops), _lists(sub_args), _values(image), strict=True)
-                made, counts = [], []
-                for size, vp in zip(batch.column(n).value_lengths().tolist(), _lists(batch.column(n + 1)), strict=True):
-                    state = PageState(tuple(vp), compat)
-                    for name, given, subs, sub_given, image_id in islice(listed, size):
-                        state.apply(name, given or [], subs, sub_given, image_id)
-                    state.finish()
-                    got = rows(state)
-                    made += got
-                    counts.append(len(got))
-                where = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-                columns = list(zip(*made, strict=True)) or [()] * len(types)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(where) for i in range(n)], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=out_schema.names)
-
-    return packed.mapInArrow(run, out_schema)
-
-
-def subpaths(ops: DataFrame, pages: DataFrame, keys: list[str], compat: bool = True) -> DataFrame:
-    """Subpaths of pages. ops: op_seq, fn, args, sub_ops, sub_args, image_id; pages: the viewport matrix vp."""
-    names = [c.split()[0] for c in SUBPATH.split(", ")]
-    return _folded(ops, pages, keys, SUBPATH, lambda s: [[p[n] for n in names] for p in s.paths], compat)
-
-
-def filled_rects(ops: DataFrame, pages: DataFrame, keys: list[str], compat: bool = True) -> DataFrame:
+        for columns, starts in _chunks(batches, n):
+            vp = np.array([one] * len(starts)).T if one else np.array(columns["vp"].take(pa.array(starts)).to_pylist(), np.float64).T
+            flat = drawing.flat({c: columns[c] for c in names if c not in ("op_seq", "vp")}, starts, vp)
+            alone = drawing.apart(flat) if compat else np.ones(len(starts), bool)
+            states = {int(k): _one_page(flat, k, compat) for k in np.flatnonzero(alone)}
+            parts = [drawing.drawn(flat, np.flatnonzero(~alone), want), *[drawing.of_state(s, k) for k, s in states.items()]]
+            page, made = rows(drawing.joined(parts), states, flat)
+            where = pa.array(starts[page.astype(np.int64)])
+            made = [*[columns[k].take(where) for k in keys], *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(made, types, strict=True)]]
+            whole = pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(made, [*[columns[k].type for k in keys], *types], strict=True)], names=out_schema.names)
+            for lo in range(0, whole.num_rows, ROWS_OUT):
+                yield whole.slice(lo, ROWS_OUT)
+
+    return gathered.mapInArrow(run, out_schema)
+
+
+def subpaths(ops: DataFrame, pages: DataFrame | tuple, keys: list[str], compat: bool = True) -> DataFrame:
+    """Subpaths of pages. ops: op_seq, fn, args, and where they occur sub_ops, sub_args, image_id, of one operator or lists of them for a run; pages: the viewport matrix vp, or one for all."""
+
+    def rows(d: drawing.Drawing, states, flat) -> tuple:
+        p = d.paths
+        ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        batch = pa.array(p[11].astype(np.int64), mask=p[11] < 0)
+        nested = [pa.ListArray.from_arrays(ends(p[k]), drawing.lists(v)) for k, v in ((18, d.segs), (19, d.curves))]
+        return p[0], [p[1].astype(np.int64), *nested, p[2] > 0, p[3] > 0, p[4], drawing.lists(p[5:8]), drawing.lists(p[8:11]), batch, drawing.lists(p[12:18])]
+
+    return _folded(ops, pages, keys, SUBPATH, "paths", rows, compat)
+
+
+def filled_rects(ops: DataFrame, pages: DataFrame | tuple, keys: list[str], compat: bool = True) -> DataFrame:
     """Filled rectangles in viewport space: seq, x, y, w, h, fill_color. With compat only the last rectangle of a path is filled."""
-    return _folded(ops, pages, keys, "seq long, x double, y double, w double, h double, fill_color array<double>", lambda s: [(i, *f) for i, f in enumerate(s.fills)], compat)
+    rows = lambda d, states, flat: (d.fills[0], [drawing.numbered(d.fills[0]), *d.fills[1:5], drawing.lists(d.fills[5:8])])
+    return _folded(ops, pages, keys, "seq long, x double, y double, w double, h double, fill_color array<double>", "fills", rows, compat)
 
 
-def image_meta(ops: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+def image_meta(ops: DataFrame, pages: DataFrame | tuple, keys: list[str]) -> DataFrame:
     """Painted images in viewport space: seq, id, x, y, w, h, inline."""
-    return _folded(ops, pages, keys, "seq long, id string, x double, y double, w double, h double, inline boolean", lambda s: [(i, *m) for i, m in enumerate(s.images)], True)
+
+    def rows(d: drawing.Drawing, states: dict, flat: drawing.Ops) -> tuple:
+        page, which, kind = d.images[[0, 1, 6]].astype(np.int64)
+        name = lambda p, k, kind: states[p].images[k][0] if kind == 3 else f"{('', 'mask_', 'inline_')[kind]}{k}" if kind else flat.image[k].as_py()
+        inline = [kind in (1, 2) or (kind == 3 and states[p].images[k][5]) for p, k, kind in zip(page.tolist(), which.tolist(), kind.tolist(), strict=True)]
+        return page, [drawing.numbered(page), [name(*x) for x in zip(page.tolist(), which.tolist(), kind.tolist(), strict=True)], *d.images[2:6], inline]
+
+    return _folded(ops, pages, keys, "seq long, id string, x double, y double, w double, h double, inline boolean", "images", rows, True)
+
+
+def drawn_segments(ops: DataFrame, pages: DataFrame | tuple, keys: list[str], eps: float = 4.0, compat: bool = True) -> DataFrame:
+    """The segments of reconciled(subpaths(...)), in the pass that draws them: no path leaves its task."""
+    names = pa.array(drawing.ORIGINS)
+
+    def rows(d: drawing.Drawing, states, flat) -> tuple:
+        page, origin, number, ends, width = drawing.reconciled(d, flat.vp, eps)
+        return page, [names.take(pa.array(origin)), number, *ends, width]
+
+    return _folded(ops, pages, keys, "origin string, id long, x1 double, y1 double, x2 double, y2 double, stroke_width double", "paths", rows, compat)
 
 
 def classified(paths: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -342,6 +342,66 @@ def test_columns_of_operators_as_lists_and_matrix_products():
         assert np.allclose(full(paths._product(a, b)), full(a) @ full(b))
 
 
+def _random_ops(rng, n):
+    """Operators of a page as rows (fn, args, sub_ops, sub_args, image_id)."""
+    num = lambda k: [float(rng.choice([0, 0, 1, 2, 5, 10, 12.5, 40, -3])) for _ in range(k)]
+    out = []
+    for _ in range(n):
+        fn = rng.choice(["save", "restore", "restore", "transform", "rectangle", "rectangle", "moveTo", "moveTo", "lineTo", "lineTo", "lineTo", "closePath", "curveTo", "curveTo2", "curveTo3", "fill", "eoFill", "stroke", "setLineWidth", "setFillGray", "setFillRGBColor", "setFillCMYKColor", "setFillColorN", "setStrokeRGBColor", "constructPath", "paintImageXObject", "paintImageMaskXObject", "paintInlineImage", "clip"])
+        sub = [rng.choice(["moveTo", "lineTo", "rectangle", "closePath", "curveTo3"]) for _ in range(rng.randrange(4))]
+        k = {"transform": 6, "setLineWidth": 1, "setFillGray": 1, "setFillRGBColor": 3, "setStrokeRGBColor": 3, "setFillCMYKColor": 4, "setFillColorN": rng.randrange(5)}.get(fn, paths.SIZES.get(fn, 0))
+        args = [rng.choice([0.0, 0.5, 1.0]) for _ in range(k)] if fn.startswith("set") else num(k) if fn != "transform" else [rng.choice([1.0, 0.5]), rng.choice([0.0, 0.0, 0.25]), 0.0, rng.choice([1.0, -1.0]), *num(2)]
+        built = fn == "constructPath"
+        out.append((fn, args or None, sub if built else None, num(sum(paths.SIZES[x] for x in sub)) if built else None, rng.choice(["a", None]) if fn.startswith("paint") else None))
+    return out
+
+
+def test_pages_side_by_side_draw_what_each_draws_alone(spark):
+    rng = random.Random(8)
+    pages = [_random_ops(rng, rng.choice([1, 20, 60])) for _ in range(300)] + [_random_ops(rng, 400)]
+    view = [(1.0, 0.0, 0.0, -1.0, 0.0, float(100 + p % 3)) for p in range(len(pages))]
+    want = {"fills": [], "paths": [], "images": []}
+    for p, ops in enumerate(pages):
+        state = paths.PageState(view[p])
+        for fn, a, subs, sub_args, image in ops:
+            state.apply(fn, a or [], subs, sub_args, image)
+        state.finish()
+        want["fills"] += [(p, i, *f[:4], list(f[4])) for i, f in enumerate(state.fills)]
+        want["images"] += [(p, i, *m) for i, m in enumerate(state.images)]
+        want["paths"] += [(p, x["id"], [list(s) for s in x["segs"]], [list(c) for c in x["curves"]], x["closed"], x["filled"], x["stroke_width"], list(x["stroke_color"]), list(x["fill_color"]), x["construct_path_id"], list(x["ctm"])) for x in state.paths]
+    rows = [(p, i, *op) for p, ops in enumerate(pages) for i, op in enumerate(ops)]
+    rng.shuffle(rows)
+    ops = spark.createDataFrame(rows, "page long, op_seq long, fn string, args array<double>, sub_ops array<string>, sub_args array<double>, image_id string").repartition(3)
+    vp = spark.createDataFrame(list(enumerate(map(list, view))), "page long, vp array<double>")
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: r[:2])
+    assert plain(paths.filled_rects(ops, vp, ["page"])) == want["fills"] and len(want["fills"]) > 100
+    assert plain(paths.image_meta(ops, vp, ["page"])) == want["images"] and len(want["images"]) > 100
+    found = paths.subpaths(ops, vp, ["page"])
+    assert plain(found) == want["paths"]
+    both = [sorted(tuple(r) for r in df.select("page", "origin", "id", "x1", "y1", "x2", "y2", "stroke_width").collect()) for df in (paths.drawn_segments(ops, vp, ["page"]), paths.reconciled(found, vp, ["page"]))]
+    assert both[0] == both[1] and {r[1] for r in both[0]} == {"rect", "dash", "diagonal", "path"}
+
+
+def test_operators_are_cut_into_chunks_between_pages(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(paths, "OPS_AT_ONCE", 4)
+    rows = [(1, 0), (1, 1), (2, 1), (2, 0), (2, 2), (2, 3), (2, 4), (2, 5), (None, 0), (3, 0)]
+    batches = [pa.RecordBatch.from_pydict({"page": pa.array([p for p, _ in part], pa.int64()), "op_seq": [i for _, i in part], "fn": [["save"] * 2] * len(part), "args": [[[], []]] * len(part)}) for part in (rows[:1], [], rows[1:3], rows[3:7], rows[7:])]
+    got = [(c["page"].to_pylist(), c["op_seq"].to_pylist(), starts.tolist()) for c, starts in paths._chunks(iter(batches), 1)]
+    assert [x for pages, seq, _ in got for x in zip(pages, seq, strict=True)] == [*rows[:2], (2, 0), (2, 1), *rows[4:]]
+    assert len(got) > 1 and all(len(set(pages)) == len(starts) for pages, _, starts in got)
+
+
+@pytest.mark.parametrize("name", ["ctm_stack"])
+def test_drawing_queries_make_the_ruled_segments_once(spark, name, capsys):
+    from leafwork.plans import registry
+
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 3 and "collect_list" not in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_detectors_of_one_pass_agree_with_the_operators(spark):
     from pyspark.sql import functions as F
 
