@@ -16,6 +16,8 @@ IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 FILLS = {"fill", "eoFill", "fillStroke", "eoFillStroke", "closeFillStroke", "closeEOFillStroke"}
 STROKES = {"stroke", "closeStrokePath"}
 SIZES = {"moveTo": 2, "lineTo": 2, "rectangle": 4, "curveTo": 6, "curveTo2": 4, "curveTo3": 4, "closePath": 0}
+#: Arguments of the operators that may stand in a run.
+ARGS = SIZES | {"save": 0, "restore": 0, "transform": 6, "setLineWidth": 1} | dict.fromkeys(FILLS | STROKES, 0) | {f"set{kind}{space}": n for kind in ("Fill", "Stroke") for space, n in (("Gray", 1), ("RGBColor", 3), ("CMYKColor", 4))}
 
 #: Fewer pages than this go one by one: a step for them costs more than they do.
 FEW = 32
@@ -75,17 +77,34 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 
 def flat(rows: dict[str, pa.Array], starts: np.ndarray, vp: np.ndarray) -> Ops:
-    """Operators from rows of fn and args (and sub_ops, sub_args, image_id), or from rows with lists of these; starts: each page's first row."""
-    many = pa.types.is_list(rows["fn"].type)
-    ends = np.cumsum(_lengths(rows["fn"])) if many else np.arange(1, len(rows["fn"]) + 1)
-    col = {k: v.flatten() if many else v for k, v in rows.items()}
-    names: list[str] = []
-    code, n, values = _coded(col["fn"], names), _lengths(col["args"]), _numbers(col["args"].flatten())
-    first = np.concatenate([[0], ends])[starts]
-    at, size, batch, image = np.cumsum(n) - n, np.diff(np.append(first, len(code))), None, col.get("image_id")
+    """Operators from rows of fn and args (and sub_ops, sub_args, image_id); starts: each page's first row.
+
+    A row whose fn has several names with blanks between is a run: its args are those of its operators on end, as many as ARGS says.
+    """
+    coded, given = rows["fn"].dictionary_encode(), rows["args"]
+    run, have = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False), _lengths(given)
+    runs = [*[r.split(" ") for r in coded.dictionary.to_pylist()], [None]]
+    names = list(dict.fromkeys(f for r in runs for f in r if f is not None))
+    if unknown := {f for r in runs if len(r) > 1 for f in r} - ARGS.keys():
+        raise ValueError(f"in a run of operators: {sorted(unknown)}")
+    long = np.array([len(r) for r in runs])
+    table = np.array([-1 if f is None else names.index(f) for r in runs for f in r], np.int32)
+    needs = np.array([ARGS.get(f, 0) for r in runs for f in r])
+    n_ops = long[run]
+    ends = np.cumsum(n_ops)
+    place = np.arange(ends[-1]) + np.repeat((np.cumsum(long) - long)[run] - ends + n_ops, n_ops)
+    code, n = table[place], needs[place]
+    one = n_ops == 1
+    n[ends[one] - 1] = have[one]
+    if (np.add.reduceat(needs, np.cumsum(long) - long)[run] != have)[~one].any():
+        raise ValueError("a run of operators has not the arguments it needs")
+    values, first = _numbers(given.flatten()), (ends - n_ops)[starts]
+    at, size, batch, image = np.cumsum(n) - n, np.diff(np.append(first, len(code))), None, rows.get("image_id")
+    if image is not None and not one.all():
+        image = image.take(pa.array(np.repeat(np.arange(len(n_ops)), n_ops)))
     if "constructPath" in names:
         sets = code == names.index("constructPath")
-        subs, given = (col[k].filter(pa.array(sets)) for k in ("sub_ops", "sub_args"))
+        subs, given = (rows[k].filter(pa.array(sets[ends - 1])) for k in ("sub_ops", "sub_args"))
         sub_code, sub_n, have = _coded(subs.flatten(), names), _lengths(subs), _lengths(given)
         sub_size = np.array([SIZES.get(name, -1) for name in names])[sub_code]
         used = np.bincount(np.repeat(np.arange(len(sub_n)), sub_n), weights=sub_size, minlength=len(sub_n))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,8 +184,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[di
         if not batch.num_rows:
             continue
         kept.append(batch)
-        fn = batch.column(batch.schema.get_field_index("fn"))
-        n_ops += len(fn.flatten()) if pa.types.is_list(fn.type) else len(fn)
+        n_ops += batch.num_rows + (pc.sum(pc.count_substring(batch.column(batch.schema.get_field_index("fn")), " ")).as_py() or 0)
         if n_ops >= limit:
             rows, starts = table()
             if len(starts) > 1:
@@ -242,7 +242,7 @@ def _folded(ops: DataFrame, pages: DataFrame | tuple, keys: list[str], schema: s
 
 
 def subpaths(ops: DataFrame, pages: DataFrame | tuple, keys: list[str], compat: bool = True) -> DataFrame:
-    """Subpaths of pages. ops: op_seq, fn, args, and where they occur sub_ops, sub_args, image_id, of one operator or lists of them for a run; pages: the viewport matrix vp, or one for all."""
+    """Subpaths of pages. ops: op_seq, fn (or several, a blank between), args, and where they occur sub_ops, sub_args, image_id; pages: the viewport matrix vp, or one for all."""
 
     def rows(d: drawing.Drawing, states, flat) -> tuple:
         p = d.paths

@@ -387,12 +387,27 @@ def test_operators_are_cut_into_chunks_between_pages(monkeypatch):
 
     monkeypatch.setattr(paths, "OPS_AT_ONCE", 4)
     rows = [(1, 0), (1, 1), (2, 1), (2, 0), (2, 2), (2, 3), (2, 4), (2, 5), (None, 0), (3, 0)]
-    batches = [pa.RecordBatch.from_pydict({"page": pa.array([p for p, _ in part], pa.int64()), "op_seq": [i for _, i in part], "fn": [["save"] * 2] * len(part), "args": [[[], []]] * len(part)}) for part in (rows[:1], [], rows[1:3], rows[3:7], rows[7:])]
+    batches = [pa.RecordBatch.from_pydict({"page": pa.array([p for p, _ in part], pa.int64()), "op_seq": [i for _, i in part], "fn": ["save restore"] * len(part), "args": pa.array([[]] * len(part), pa.list_(pa.float64()))}) for part in (rows[:1], [], rows[1:3], rows[3:7], rows[7:])]
     got = [(c["page"].to_pylist(), c["op_seq"].to_pylist(), starts.tolist()) for c, starts in paths._chunks(iter(batches), 1)]
     assert [x for pages, seq, _ in got for x in zip(pages, seq, strict=True)] == [*rows[:2], (2, 0), (2, 1), *rows[4:]]
     assert len(got) > 1 and all(len(set(pages)) == len(starts) for pages, _, starts in got)
 
 
+def test_runs_of_operators_are_their_operators():
+    import numpy as np
+    import pyarrow as pa
+
+    from leafwork.operators import drawing
+
+    single = [("save", []), ("transform", [1.0, 0.0, 0.0, 1.0, 5.0, 6.0]), ("setFillColorN", [0.5]), ("rectangle", [1.0, 2.0, 3.0, 4.0]), ("fill", []), ("restore", []), ("clip", [])]
+    run = [("save transform", single[1][1]), single[2], ("rectangle fill restore", single[3][1]), single[6]]
+    flat = [drawing.flat({"fn": pa.array([f for f, _ in rows]), "args": pa.array([a for _, a in rows], pa.list_(pa.float64()))}, np.array([0, k]), np.eye(6, 2)) for rows, k in ((single, 2), (run, 1))]
+    assert [[(o.names[c], o.args(i)) for i, c in enumerate(o.code)] for o in flat] == [single] * 2 and all(o.first.tolist() == [0, 2] and o.size.tolist() == [2, 5] for o in flat)
+    for fn in ("save clip", "save transform"):
+        with pytest.raises(ValueError):
+            drawing.flat({"fn": pa.array([fn]), "args": pa.array([[1.0]])}, np.array([0]), np.eye(6, 1))
+
+
 @pytest.mark.parametrize("name", ["ctm_stack", "reconciled_segments"])
 def test_drawing_queries_make_the_ruled_segments_once(spark, name, capsys):
     from leafwork.plans import registry
